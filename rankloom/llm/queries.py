@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import ann, byte_bpe, chat_format, packing, quality_rules, toxicity, url_filter
+from rankloom.llm import ann, byte_bpe, chat_format, line_dedup, ngram_join, packing, quality_rules, token_rollup, toxicity, url_filter
+from rankloom.llm.common import materialised, shared_dir, text_of
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,10 +150,140 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP2_SQL = r"""
+with recursive docs as (
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w : w <> '') as w from documents
+), shingles as (
+  select distinct rid, array_to_string(w[i:i+4], ' ') as g from (select rid, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from docs where len(w) > 0)
+), sizes as (
+  select rid, count(*) as n from shingles group by rid
+), shared as (
+  select a.rid as x, b.rid as y, count(*) as n from shingles a join shingles b on a.g = b.g and a.rid < b.rid group by a.rid, b.rid
+), links as (
+  select x, y from shared join sizes p on p.rid = x join sizes q on q.rid = y where 5 * shared.n >= 4 * (p.n + q.n - shared.n)
+), both_ways as (
+  select x, y from links union all select y, x from links
+), reach(x, y) as (
+  select rid, rid from docs union select r.x, b.y from reach r join both_ways b on r.y = b.x
+), classes as (
+  select r.x as rid, min(d.doc_id) as class_id from reach r join docs d on d.rid = r.y group by r.x
+), counted as (
+  select x as rid, count(*) as n_links from both_ways group by x
+)
+select doc_id, class_id, coalesce(n_links, 0) as n_links from docs join classes using (rid) left join counted using (rid)
+"""
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(read(spark, sf_dir, "documents"), least=50).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+OP7_SQL = r"""
+with docs as (
+  select row_number() over () as rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) as parts from documents
+), parts as (
+  select rid, doc_id, unnest(parts) as raw, unnest(range(len(parts))) as pos from docs
+), spoken as (
+  select rid, doc_id, pos, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as line,
+    row_number() over (partition by rid order by pos) - 1 as p
+  from parts where regexp_matches(raw, '[^\x20\x09-\x0D]')
+), counted as (
+  select *, len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) as n from spoken
+), sums as (
+  select *, sum(n) over (partition by rid order by p) as upto from counted
+), begins as (
+  select a.rid, a.doc_id, a.p as i, min(b.p) - a.p + 1 as m from sums a join sums b on a.rid = b.rid and b.p >= a.p and b.upto - a.upto + a.n >= 50 group by a.rid, a.doc_id, a.p
+), ends as (
+  select b.rid, b.doc_id, max(a.p) as i, b.p - max(a.p) + 1 as m from sums b join sums a on a.rid = b.rid and a.p <= b.p and b.upto - a.upto + a.n >= 50 group by b.rid, b.doc_id, b.p
+), windows as (
+  select rid, doc_id, i, m from begins union select rid, doc_id, i, m from ends
+), keyed as (
+  select w.rid, w.doc_id, w.i, w.m, string_agg(s.line, chr(10) order by s.p) as k from windows w join spoken s on s.rid = w.rid and s.p >= w.i and s.p < w.i + w.m group by w.rid, w.doc_id, w.i, w.m
+), placed as (
+  select *, row_number() over (partition by k order by doc_id nulls last, rid, i) as nth from keyed
+), gone as (
+  select distinct s.rid, s.pos from placed w join spoken s on s.rid = w.rid and s.p >= w.i and s.p < w.i + w.m where nth > 1
+), tally as (
+  select rid, count(*) as n_lines from spoken group by rid
+), cut as (
+  select rid, count(*) as n_deleted from gone group by rid
+), rest as (
+  select p.rid, string_agg(p.raw, chr(10) order by p.pos) as text from parts p anti join gone g on p.rid = g.rid and p.pos = g.pos where p.rid in (select rid from gone) group by p.rid
+)
+select d.doc_id, case when n_deleted is null then d.text when n_deleted = n_lines then '' else coalesce(r.text, '') end as text,
+  coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted
+from docs d left join tally using (rid) left join cut using (rid) left join rest r using (rid)
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of ``documents`` after three batches: all are inserted, counted in words and, for now, in characters; the latter are
+    revised to bytes; documents of fewer than three words are deleted. The first batch comes twice, once with repeated events."""
+    text = text_of("text")
+    docs = read(spark, sf_dir, "documents").select(
+        F.concat_ws("/", "doc_id", F.xxhash64(text)).alias("id"),
+        "source",
+        "lang",
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
+        F.length(text).cast("long").alias("chars"),
+        F.octet_length(text).cast("long").alias("bytes"),
+    )
+    docs = materialised(docs, "counts")
+    key = lambda version: F.concat_ws("/", "id", F.lit(version))
+    inserts = token_rollup.inserted(docs, key("words-1"), "words-1", F.col("words")).unionByName(token_rollup.inserted(docs, key("bytes-1"), "bytes-1", F.col("chars")))
+    revised = token_rollup.inserted(docs.where("chars <> bytes"), key("bytes-1"), "bytes-1", F.col("bytes"))
+    gone = docs.where("words < 3")
+    deletes = token_rollup.inserted(gone, key("words-1"), "words-1", F.col("words")).unionByName(token_rollup.inserted(gone, key("bytes-1"), "bytes-1", F.col("bytes")))
+    chars = docs.where("chars <> bytes").select(key("bytes-1").alias("event_id"), "chars")
+
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rankloom/rollup-{uuid.uuid4().hex}")
+    rollup.commit("inserts", inserts)
+    rollup.commit("revisions", revised.withColumn("kind", F.lit("revise")).drop("prior").join(chars.distinct(), "event_id").withColumnRenamed("chars", "prior"))
+    rollup.commit("inserts", inserts.unionByName(inserts))
+    rollup.commit("deletes", deletes.withColumn("kind", F.lit("delete")))
+    rollup.compact()
+    return rollup.totals()
+
+
+OP10_SQL = r"""
+with docs as (
+  select distinct doc_id, source, lang, coalesce(text, '') as text from documents
+), counted as (
+  select source, lang, text, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w : w <> '')) as words from docs
+), versions as (
+  select source, lang, 'words-1' as version, words as tokens from counted where words >= 3
+  union all select source, lang, 'bytes-1', strlen(text) from counted where words >= 3
+)
+select source, lang, version, count(*) as docs, cast(sum(tokens) as bigint) as tokens from versions group by all
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op3_quality_rules, op4_byte_bpe, op5_url_filters, op6_best_fit_packing, op8_nearest_neighbours, op9_toxicity)
+    found = (
+        op1_chat_formatting,
+        op2_ngram_join,
+        op3_quality_rules,
+        op4_byte_bpe,
+        op5_url_filters,
+        op6_best_fit_packing,
+        op7_line_dedup,
+        op8_nearest_neighbours,
+        op9_toxicity,
+        op10_token_counts,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_url_filters": OP5_SQL}
+    return {
+        "op1_chat_formatting": OP1_SQL,
+        "op2_ngram_join": OP2_SQL,
+        "op3_quality_rules": OP3_SQL,
+        "op5_url_filters": OP5_SQL,
+        "op7_line_dedup": OP7_SQL,
+        "op10_token_counts": OP10_SQL,
+    }

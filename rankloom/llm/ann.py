@@ -3,7 +3,7 @@
 Centroids are fitted on a bounded sample; every vector goes to its nearest centroid's list. How many lists a query probes is
 what reaches the target recall on the sample against brute force. Within a list, vectors and queries are turned by one random
 rotation, and distances grow block of columns by block of columns: after each, a candidate whose partial distance makes it
-unlikely to reach the query's current k-th best is abandoned (a test on the partial sum of squares, which a rotation spreads
+unlikely to reach the score of the query's k-th best in the sample is abandoned (a test on the partial sum of squares, which a rotation spreads
 evenly over columns). Survivors are scored exactly, in double precision, on the original vectors.
 
 Long lists are cut into blocks, and so are the queries of a list, so that a list with a third of all vectors is many tasks.
@@ -25,13 +25,16 @@ from rankloom.llm.common import materialised, small
 class Settings:
     """``sample``: vectors that fitting takes at most. ``lists``: at most; about the root of the number of vectors otherwise.
     ``recall``: what the probes reach on the sample. ``epsilon``: how far a partial distance must be off, in standard deviations,
-    before a candidate is abandoned. ``columns``: of a block. ``block``, ``queries``: rows of a task's group, about."""
+    before a candidate is abandoned. ``columns``: of a block. ``few``: at what share of pairs left they are looked at one by one.
+    ``kept``: vectors of the sample that give queries their first bound. ``block``, ``queries``: rows of a task's group, about."""
 
     sample: int = 20_000
     lists: int = 16_384
-    recall: float = 0.985
+    recall: float = 0.97
     epsilon: float = 3.0
     columns: int = 16
+    few: float = 0.05
+    kept: int = 4096
     block: int = 2048
     queries: int = 2048
 
@@ -61,6 +64,7 @@ class Index:
             self.centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], self.centroids)
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
         self.probes = self._needed(sample, rng, k)
+        self.kept = sample[rng.permutation(len(sample))[: settings.kept]]
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         near = np.empty(len(x), np.int64)
@@ -74,6 +78,15 @@ class Index:
         products = q @ self.centroids.T
         return np.argsort(-products, axis=1, kind="stable")[:, :n]
 
+    def reached(self, q: np.ndarray, k: int) -> np.ndarray:
+        """A score that at least ``k`` vectors other than the query reach, by the part of the sample that is kept: what a neighbour must
+        score. One place is left for the query itself."""
+        if len(self.kept) <= k:
+            return np.full(len(q), -np.inf)
+        products = q @ self.kept.T
+        best = np.partition(products, len(self.kept) - k - 1, axis=1)[:, len(self.kept) - k - 1]
+        return best - 1e-9 * (1 + np.abs(best))
+
     def _needed(self, sample: np.ndarray, rng: np.random.Generator, k: int) -> int:
         """Probes that find the target share of the sample's own nearest neighbours."""
         picked = rng.permutation(len(sample))[:300]
@@ -87,43 +100,49 @@ class Index:
         return int(ranks[min(len(ranks) - 1, int(len(ranks) * self.settings.recall))]) + 1
 
 
-def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, rotation: np.ndarray, k: int, settings: Settings):
-    """For each query its ``k`` nearest among ``vectors``: arrays of query ids, ids and scores. Equal scores go by id."""
-    n, dim = vectors.shape
-    order = np.argsort(ids, kind="stable")
-    vectors, ids = vectors[order], ids[order]
-    turned, squares = vectors @ rotation, (vectors**2).sum(1)
-    blocks = [np.ascontiguousarray(turned[:, c : c + settings.columns]) for c in range(0, dim, settings.columns)]
-    found: list[tuple[np.ndarray, ...]] = []
-    for q, query_id in zip(queries, query_ids, strict=True):
-        turned_q, square = q @ rotation, float(q @ q)
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        lo = 0
-        while lo < n:
-            hi = min(n, lo + max(4 * k, 3 * lo))
-            rows = np.arange(lo, hi)
-            if len(best) == k:
-                bound = square + squares[lo:hi] - 2 * best[-1]
-                slack = 1e-9 * (square + squares[lo:hi])
-                rows, bound = rows[bound >= -slack], (bound + slack)[bound >= -slack]
-                partial = np.zeros(len(rows))
-                for b, block in enumerate(blocks):
-                    c = b * settings.columns
-                    partial += ((block[rows] - turned_q[c : c + block.shape[1]]) ** 2).sum(1)
-                    seen = c + block.shape[1]
-                    wide = 1.0 if seen == dim else (1 + settings.epsilon / seen**0.5) ** 2 * seen / dim
-                    kept = partial <= wide * bound
-                    rows, bound, partial = rows[kept], bound[kept], partial[kept]
-            rows = rows[ids[rows] != query_id]
-            scores = (vectors[rows] * q).sum(1)
-            best_ids, best = np.r_[best_ids, ids[rows]], np.r_[best, scores]
-            top = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top], best[top]
-            lo = hi
-        found.append((np.full(len(best), query_id), best_ids, best))
-    if not found:
+def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, k: int, settings: Settings):
+    """For each query its ``k`` nearest among ``vectors`` that score ``bounds`` or more: arrays of query ids, ids and scores. Equal
+    scores go by id.
+
+    Queries go in chunks. While many pairs are left, a block of columns is one product of matrices; then only the pairs left are
+    looked at.
+    """
+    dim = vectors.shape[1]
+    turned, turned_q = vectors @ rotation, queries @ rotation
+    squares, squares_q = (vectors**2).sum(1), (queries**2).sum(1)
+    out: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(queries), 128):
+        chunk = slice(lo, lo + 128)
+        q, own, q_turned = queries[chunk], query_ids[chunk], turned_q[chunk]
+        total = squares_q[chunk, None] + squares[None, :]
+        limit = np.where(np.isinf(bounds[chunk]), np.inf, bounds[chunk])[:, None]
+        bound = np.where(np.isinf(limit), np.inf, total - 2 * limit) + 1e-9 * total
+        partial, which, rows = np.zeros_like(total), None, None
+        for c in range(0, dim, settings.columns):
+            cut = slice(c, min(dim, c + settings.columns))
+            allowed = 1.0 if cut.stop == dim else (1 + settings.epsilon / cut.stop**0.5) ** 2 * cut.stop / dim
+            if which is None:
+                part, part_q = turned[:, cut], q_turned[:, cut]
+                partial += (part_q**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * (part_q @ part.T)
+                left = partial <= allowed * bound + 1e-9 * total
+                partial[~left] = np.inf
+                if cut.stop == dim or left.mean() < settings.few:
+                    which, rows = np.nonzero(left)
+                    partial, bound = partial[which, rows], bound[which, rows]
+            else:
+                partial = partial + ((turned[rows, cut] - q_turned[which, cut]) ** 2).sum(1)
+                left = partial <= allowed * bound + 1e-9
+                which, rows, partial, bound = which[left], rows[left], partial[left], bound[left]
+        other = ids[rows] != own[which]
+        which, rows = which[other], rows[other]
+        scores = (vectors[rows] * q[which]).sum(1)
+        top = np.lexsort((ids[rows], -scores, which))
+        which, rows, scores = which[top], rows[top], scores[top]
+        kept = np.arange(len(which)) - np.searchsorted(which, which) < k
+        out.append((own[which[kept]], ids[rows[kept]], scores[kept]))
+    if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -157,13 +176,14 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
             x = _matrix(batch.column(1), dim) if batch.num_rows else np.empty((0, dim))
             for i in range(0, len(x), 256):
                 near = index.probed(x[i : i + 256], probes)
+                reach = pa.array(np.repeat(index.reached(x[i : i + 256], k), near.shape[1]))
                 rows = pa.array(np.repeat(np.arange(i, i + len(near)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), reach], names=["list", "id", "v", "reach"])
 
     schema = "list bigint, id bigint, v array<double>"
     stored = materialised(rows.mapInArrow(assigned, schema), "lists")
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = materialised(queries.mapInArrow(probing, schema), "probes")
+    asked = materialised(queries.mapInArrow(probing, f"{schema}, reach double"), "probes")
 
     # as many rows as lists: how many blocks a list's vectors and its queries are cut into
     cut = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))
@@ -179,9 +199,9 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
             a, b, c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         else:
             (x, ids), (q, query_ids) = ((_matrix(t["v"].combine_chunks(), dim), t["id"].to_numpy()) for t in (vectors, queries))
-            a, b, c = scan(x, ids, q, query_ids, index.rotation, k, settings)
+            a, b, c = scan(x, ids, q, query_ids, queries["reach"].to_numpy(), index.rotation, k, settings)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    near = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key)).applyInArrow(searched, "query_id bigint, vec_id bigint, score double")
+    near = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "id", "v", "reach").groupBy(*key)).applyInArrow(searched, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_SPACE, SPACE, let, materialised, small, text_of
+from rankloom.llm.common import SPACE, materialised, small, text_of
+
+
+#: Space and U+0009 to U+000D, one by one.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def spoken_lines(text: Column) -> Column:
     """For each line with a word: two hashes of it, without spaces at its ends, and its number of words."""
-    trimmed = lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
     hashed = lambda y: F.struct(F.xxhash64(y).alias("a"), F.xxhash64(F.lit("second"), y).alias("b"), F.size(F.split(y, SPACE + "+")).alias("n"))
-    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)), lambda x: let(trimmed(x), hashed))
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda y: y != ""), hashed)
 
 
 def _windows(least: int):
@@ -80,6 +83,8 @@ def later_copies(texts: DataFrame, least: int) -> DataFrame:
 
     lines = long.select("no", "doc", "t", F.posexplode("lines").alias("p", "line")).select("no", "doc", "t", "p", "line.a", "line.b")
     names = lines.groupBy("a", "b").agg(F.min(place("p")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written first: the join then has no sum in its stage, and a line of very many texts is split like any skewed key
+    names = small(materialised(names, "names"), 48)
     active = materialised(lines.join(names, ["a", "b"]).select("no", "doc", "t", "p", "name"), "suffixes")
 
     found, depth = [], 1
@@ -87,13 +92,15 @@ def later_copies(texts: DataFrame, least: int) -> DataFrame:
         here = windows.where((F.col("m") >= depth) & (F.col("m") < 2 * depth))
         begin, end = _named(active, "x"), _named(active, "y")
         met = here.join(begin, _at("x", F.col("i"))).join(end, _at("y", F.col("i") + F.col("m") - depth))
-        met = met.select("no", "doc", "t", "i", "m", "x", "y")
+        met = materialised(met.select("no", "doc", "t", "i", "m", "x", "y"), "met")
         first = met.groupBy("x", "y", "m").agg(F.min(place("i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        first = small(materialised(first, "first"), 96)
         found.append(met.join(first, ["x", "y", "m"]).where(F.col("first") < place("i")).select("no", "doc", "t", "i", "m"))
         if 2 * depth <= deepest:
             order = Window.partitionBy("no", "doc", "t").orderBy("p").rangeBetween(depth, depth)
             pairs = active.withColumn("next", F.max("name").over(order)).where(F.col("next").isNotNull())
             joint = pairs.groupBy("name", "next").agg(F.min(place("p")).alias("joint"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            joint = small(materialised(joint, "joint"), 96)
             active = materialised(pairs.join(joint, ["name", "next"]).select("no", "doc", "t", "p", F.col("joint").alias("name")), "suffixes")
         depth *= 2
     if not found:
@@ -104,68 +111,72 @@ def later_copies(texts: DataFrame, least: int) -> DataFrame:
     return out
 
 
-def _without(names: list[str], at_text: int, at_ranges: int, at_all: int):
-    """Rows with their texts cut; ``n_lines`` and ``n_deleted`` are appended."""
+def _cut(batches):
+    """``row, text, ranges, everything`` to ``row, text, n_lines, n_deleted``."""
+    for batch in batches:
+        texts, lines, deleted = [], [], []
+        for text, ranges, everything in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            parts = (text or "").split("\n")
+            spoken = [k for k, x in enumerate(parts) if x.strip(BLANKS)]
+            gone = set(range(len(spoken))) if everything else {k for r in ranges or () for k in range(r["i"], r["i"] + r["m"])}
+            if gone:
+                drop = {spoken[k] for k in gone}
+                text = "" if len(gone) == len(spoken) else "\n".join(x for k, x in enumerate(parts) if k not in drop)
+            texts.append(text)
+            lines.append(len(spoken))
+            deleted.append(len(gone))
+        columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(deleted, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_deleted"])
+
+
+def cut(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``, so that no name of theirs meets one of ours), ``text``, ``n_lines``, ``n_deleted``."""
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = text_of("text")
+    ta, tb = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+    rows = kept.select(F.col("id").isNull().alias("no"), F.col("id").alias("doc"), ta.alias("t"), tb.alias("u"), spoken_lines(text).alias("lines")).where(F.size("lines") > 0)
+    first = F.min(F.struct("no", "doc")).alias("first")
+    texts = rows.groupBy("t", "u").agg(first, F.count(F.lit(1)).alias("copies"), F.any_value("lines").alias("lines"))
+    texts = materialised(texts.select("first.no", "first.doc", "t", "u", "copies", "lines"), "texts")
+    gone = later_copies(texts, least).groupBy("no", "doc", "t").agg(F.collect_list(F.struct("i", "m")).alias("ranges"))
+    gone = gone.withColumnsRenamed({"no": "g_no", "doc": "g_doc", "t": "g_t"})
+    long = F.aggregate("lines", F.lit(0), lambda n, x: n + x["n"]) >= least
+    marked = texts.join(gone, (F.col("no") == F.col("g_no")) & F.col("doc").eqNullSafe(F.col("g_doc")) & (F.col("t") == F.col("g_t")), "left")
+    marked = marked.where(F.col("ranges").isNotNull() | (long & (F.col("copies") > 1)))
+    marked = materialised(marked.select("t", "u", "doc", (long & (F.col("copies") > 1)).alias("copied"), "ranges"), "marked")
 
-    def run(batches):
-        for batch in batches:
-            texts, lines, deleted = [], [], []
-            columns = (batch.column(at_text).to_pylist(), batch.column(at_ranges).to_pylist(), batch.column(at_all).to_pylist())
-            for text, ranges, everything in zip(*columns, strict=True):
-                parts = (text or "").split("\n")
-                spoken = [k for k, x in enumerate(parts) if x.strip(" \t\n\x0b\x0c\r")]
-                gone = set(range(len(spoken))) if everything else {k for r in ranges or () for k in range(r["i"], r["i"] + r["m"])}
-                if gone:
-                    drop = {spoken[k] for k in gone}
-                    text = "" if len(gone) == len(spoken) else "\n".join(x for k, x in enumerate(parts) if k not in drop)
-                texts.append(text)
-                lines.append(len(spoken))
-                deleted.append(len(gone))
-            kept = [pa.array(texts, pa.string()) if k == at_text else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lines, pa.int64()), pa.array(deleted, pa.int64())], names=[*names, "n_lines", "n_deleted"])
+    met = kept.join(small(marked, 128), (ta == F.col("t")) & (tb == F.col("u")), "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    # of the rows that hold the first id of a copied text, one stays
+    own = F.col("copied") & F.col("id").eqNullSafe(F.col("doc"))
+    nth = F.row_number().over(Window.partitionBy("t", "u", "id").orderBy("id"))
+    firsts = met.where(own).withColumn("everything", nth > 1)
+    others = met.where(~own).withColumn("everything", F.col("copied"))
+    ready = others.unionByName(firsts).select("row", "text", "ranges", "everything")
+    return ready.mapInArrow(_cut, f"row {kept.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_deleted bigint")
 
-    return run
+
+def _columns(docs: DataFrame, changed: dict[str, Column], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, some of them changed."""
+    return [changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns if c not in without]
 
 
 def deduplicated(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with the text's later copies of line runs deleted; and ``n_lines`` (with a word), ``n_deleted``.
+    """The rows of ``docs``, all columns, with the text's later copies of line runs deleted; and ``n_lines`` (with a word), ``n_deleted``,
+    which take the place of columns of these names.
 
     Lines are equal if they are so without spaces at their ends; lines without a word are passed over and stay, unless no other
     line is left: then the text is empty. The corpus order is that of ids, rows without an id last, then of a hash of the text. Of
     repeated rows one keeps its lines. A text of fewer than ``least`` words stays as it is, as do null and empty texts; an empty
-    table gives no rows. ``docs`` must have no columns named ``n_lines`` or ``n_deleted``.
+    table gives no rows.
     """
-    text = text_of(text_col)
-    ta, tb = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
-    rows = docs.select(F.col(id_col).isNull().alias("no"), F.col(id_col).cast("long").alias("doc"), ta.alias("t"), tb.alias("u"), spoken_lines(text).alias("lines")).where(F.size("lines") > 0)
-    texts = materialised(
-        rows.groupBy("t", "u").agg(F.min(F.struct("no", "doc")).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("lines").alias("lines")).select("first.no", "first.doc", "t", "u", "copies", "lines"), "texts"
-    )
-    gone = later_copies(texts, least).groupBy("no", "doc", "t").agg(F.collect_list(F.struct("i", "m")).alias("ranges"))
-    gone = gone.withColumnsRenamed({"no": "g_no", "doc": "g_doc", "t": "g_t"})
-    long = F.aggregate("lines", F.lit(0), lambda n, x: n + x["n"]) >= least
-    marked = texts.join(gone, (F.col("no") == F.col("g_no")) & F.col("doc").eqNullSafe(F.col("g_doc")) & (F.col("t") == F.col("g_t")), "left")
-    marked = marked.where(F.col("ranges").isNotNull() | (long & (F.col("copies") > 1)))
-    marked = materialised(marked.select(F.col("t").alias("_t"), F.col("u").alias("_u"), F.col("doc").alias("_doc"), F.col("copies").alias("_copies"), long.alias("_long"), F.col("ranges").alias("_ranges")), "marked")
-
-    met = docs.join(small(marked, 128), (ta == F.col("_t")) & (tb == F.col("_u")), "left")
-    copied = F.col("_long") & (F.col("_copies") > 1)
-    met = met.withColumn("_copied", F.coalesce(copied, F.lit(False)))
-    # of the rows that hold the first id of a copied text, one stays
-    firsts = met.where(F.col("_copied") & F.col(id_col).eqNullSafe(F.col("_doc")))
-    nth = F.row_number().over(Window.partitionBy("_t", "_u", id_col).orderBy(id_col))
-    firsts = firsts.withColumn("_all", nth > 1)
-    others = met.where(~(F.col("_copied") & F.col(id_col).eqNullSafe(F.col("_doc")))).withColumn("_all", F.col("_copied"))
-    names = docs.columns
-    ready = others.unionByName(firsts).select(*names, "_ranges", "_all")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    run = _without(names, names.index(text_col), len(names), len(names) + 1)
-    return ready.mapInArrow(run, f"{fields}, n_lines bigint, n_deleted bigint")
+    ours = ("n_lines", "n_deleted")
+    return cut(docs, least, id_col, text_col).select(*_columns(docs, {text_col: F.col("text")}, ours), *ours)
 
 
 def filtered(docs: DataFrame, least: int = 50) -> DataFrame:
     """``documents`` after ``deduplicated``: documents that lost all their lines are gone, ``n_chars`` follows the text."""
-    out = deduplicated(docs, least).where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
+    out = cut(docs, least, "doc_id", "text").where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(_columns(docs, changed))

@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ class Sample:
     """The bound of what fitting takes: so many toxic and ordinary rows, in the order of a hash of their ids; texts of more
     characters than ``chars`` are not taken."""
 
-    toxic: int = 2000
-    ordinary: int = 6000
+    toxic: int = 1500
+    ordinary: int = 4500
     chars: int = 50_000
 
 
@@ -56,13 +57,13 @@ def _sequences(word: str, n: int = 4) -> set[str]:
     return {word[i : i + n] for i in range(len(word) - n + 1)}
 
 
-def toxic_words(texts: list[list[str]], toxic: list[bool]) -> list[str]:
-    """Words of toxic texts with a letter sequence that is frequent among toxic and all but absent among ordinary texts; the most
-    frequent last, where matches cost least."""
+def toxic_words(texts: list[str], toxic: list[bool]) -> list[str]:
+    """Words of toxic texts (words joined by blanks) with a letter sequence that is frequent among toxic and all but absent among
+    ordinary texts; the most frequent last, where matches cost least."""
     ours, others, docs = Counter(), Counter(), Counter()
     n, m = sum(toxic), len(toxic) - sum(toxic)
-    for words, y in zip(texts, toxic, strict=True):
-        found = set(words)
+    for text, y in zip(texts, toxic, strict=True):
+        found = set(text.split(" "))
         sequences = set().union(*map(_sequences, found)) if found else set()
         if y:
             ours.update(sequences)
@@ -98,8 +99,8 @@ class Distance:
         held.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=held, **options)
 
-    def features(self, text: str) -> list[float]:
-        words, out = words_of(text), []
+    def features(self, words: list[str]) -> list[float]:
+        out = []
         a, b = self.ordinary.compress, self.toxic.compress
         for size in SIZES:
             saved = np.array([len(a(w)) - len(b(w)) for w in windows(words, size)])
@@ -123,18 +124,21 @@ class Model:
         centre, scale, weights = (np.array(x) for x in (self.centre, self.scale, self.weights))
 
         def score(texts: list[str]) -> np.ndarray:
-            z = (np.array([distance.features(t) for t in texts]) - centre) / scale
+            z = (np.array([distance.features(words_of(t)) for t in texts]) - centre) / scale
             return 1 / (1 + np.exp(-np.clip(z @ weights[:-1] + weights[-1], -500, 500)))
 
         return score
 
 
-def _contents(split: list[list[str]], toxic: list[bool]) -> tuple[bytes, bytes]:
+def _contents(texts: list[str], toxic: list[bool]) -> tuple[bytes, bytes]:
     """What the two dictionaries are made of: an ordinary part, and the words that the toxic one has more."""
-    plain = [" " + " ".join(w) + " " for w, y in zip(split, toxic, strict=True) if not y]
-    pieces = [p[i : i + 60].encode("utf-8", "replace") for p in plain for i in range(0, len(p), 60)]
-    telling = (" " + " ".join(toxic_words(split, toxic)) + " ").encode("utf-8", "replace")
-    return _dictionary(pieces[:: max(1, len(pieces) // 60_000)], ORDINARY_BYTES), telling[-TOXIC_BYTES:]
+    plain = [t for t, y in zip(texts, toxic, strict=True) if not y]
+    # every so-manieth piece of 60 characters, as many as training needs
+    step = max(1, sum(len(t) // 60 + 1 for t in plain) // 60_000)
+    places = ((t, i) for t in plain for i in range(0, len(t), 60))
+    pieces = [f" {t} "[i : i + 60].encode("utf-8", "replace") for t, i in islice(places, 0, None, step)]
+    telling = (" " + " ".join(toxic_words(texts, toxic)) + " ").encode("utf-8", "replace")
+    return _dictionary(pieces, ORDINARY_BYTES), telling[-TOXIC_BYTES:]
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,15 +165,15 @@ def fit(texts: list[str], labels: list[int], folds: int = 3) -> Model:
     if not both:
         share = min(max(float(np.mean(toxic)) if toxic else 0.0, 1e-6), 1 - 1e-6)
         return Model(b"", b"", (0.0,) * n, (1.0,) * n, (*(0.0,) * n, float(np.log(share / (1 - share)))))
-    split = [words_of(t) for t in texts]
+    texts = [" ".join(words_of(t)) for t in texts]
     x = np.zeros((len(texts), n))
     for f in range(folds):
         rest = [i for i in range(len(texts)) if fold[i] != f]
-        distance = Distance(*_contents([split[i] for i in rest], [toxic[i] for i in rest]))
+        distance = Distance(*_contents([texts[i] for i in rest], [toxic[i] for i in rest]))
         for i in range(len(texts)):
             if fold[i] == f:
-                x[i] = distance.features(texts[i])
-    return Model(*_contents(split, toxic), *map(tuple, _curve(x, np.array(toxic, float))))
+                x[i] = distance.features(texts[i].split(" ") if texts[i] else [])
+    return Model(*_contents(texts, toxic), *map(tuple, _curve(x, np.array(toxic, float))))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:

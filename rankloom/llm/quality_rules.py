@@ -20,13 +20,13 @@ from rankloom.llm.common import NOT_SPACE, SPACE, let, materialised, small, text
 @dataclass(frozen=True)
 class Limits:
     """``docs``, ``share``: a line goes if more distinct documents of its host have it than ``docs`` and than ``share`` of the
-    host's distinct documents. ``apart``: and if, of the lines before it or of those after it, at least this share are
-    different: a line that keeps its neighbours marks copies of a document, which are not for this operator to remove.
-    ``left``: a document is depleted if less than this share of its words is left."""
+    host's distinct documents. ``apart``: and if these documents differ in the rest: looked at in five places, from the first line
+    to the last, they must have so many different lines, by this share, in three. A line whose documents agree elsewhere marks
+    copies of a document, which are not for this operator to remove. ``left``: a document is depleted if less than this share of its words is left."""
 
     docs: int = 10
     share: float = 0.001
-    apart: float = 0.75
+    apart: float = 0.5
     left: float = 0.2
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -95,19 +95,14 @@ def common_lines(texts: DataFrame, limits: Limits) -> DataFrame:
     """``host, h``: the lines above the limits. ``texts`` has a row ``host, ta, tb, lines`` for each distinct text of a host."""
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     bound = F.greatest(F.lit(float(limits.docs)), F.col("docs") * limits.share)
-    uses = texts.select("host", "ta", F.posexplode("lines").alias("i", "line"), "lines").select(
-        "host",
-        "ta",
-        F.col("line.h").alias("h"),
-        F.coalesce(F.get("lines", F.col("i") - 1)["h"], F.lit(0)).alias("before"),
-        F.coalesce(F.get("lines", F.col("i") + 1)["h"], F.lit(0)).alias("after"),
-    )
+    places = [F.get("lines", F.floor((F.size("lines") - 1) * k / 4).cast("int"))["h"].alias(f"p{k}") for k in range(5)]
+    uses = texts.select("host", "ta", *places, F.explode("lines").alias("line")).select("host", "ta", *(f"p{k}" for k in range(5)), F.col("line.h").alias("h"))
     often = uses.groupBy("host", "h").count().where(F.col("count") > limits.docs).select("host", "h")
     often = materialised(often, "often")
     near = uses.join(small(often, 32), (uses["host"].eqNullSafe(often["host"])) & (uses["h"] == often["h"]), "left_semi")
-    counted = near.groupBy("host", "h").agg(F.count_distinct("ta").alias("n"), F.count_distinct("before").alias("b"), F.count_distinct("after").alias("a"))
+    counted = near.groupBy("host", "h").agg(F.count_distinct("ta").alias("n"), F.sort_array(F.array(*(F.count_distinct(f"p{k}") for k in range(5))))[2].alias("rest"))
     joined = counted.join(F.broadcast(hosts) if hosts.count() * 64 <= 64 << 20 else hosts, counted["host"].eqNullSafe(hosts["host"])).select(counted["*"], "docs")
-    return joined.where((F.col("n") > bound) & (F.greatest("a", "b") >= F.col("n") * limits.apart)).select("host", "h")
+    return joined.where((F.col("n") > bound) & (F.col("rest") >= F.col("n") * limits.apart)).select("host", "h")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
@@ -159,16 +154,17 @@ def filtered(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     verdicts = judged(docs, limits=limits)
     keys = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("ta").alias("_ta"), F.col("tb").alias("_tb"), "gone")
     keys = small(materialised(keys.dropDuplicates(["_id", "_host", "_ta", "_tb"]), "kept"), 64)
-    text = text_of("text")
+    # the row as one struct, so that no name of its columns meets one of ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", text_of("text").alias("text"))
+    text = F.col("text")
     on = (
         F.col("doc_id").eqNullSafe(F.col("_id"))
         & F.col("source").eqNullSafe(F.col("_host"))
         & (F.xxhash64(text) == F.col("_ta"))
         & (F.xxhash64(F.lit("second"), text) == F.col("_tb"))
     )
-    rows = docs.join(keys, on)
-    changed = {"text": without_lines(text, F.col("gone"))}
-    out = rows.withColumns(changed)
+    out = rows.join(keys, on).withColumn("text", without_lines(text, F.col("gone")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select([changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -80,12 +80,14 @@ with docs as (
 ), hosts as (
   select host, count(*) as docs from texts group by host
 ), lines as (
-  select host, text, unnest(lines) as line, unnest(list_concat([''], lines[:-2])) as prior, unnest(list_concat(lines[2:], [''])) as later from texts
+  select host, text, lines, unnest(lines) as line from texts
 ), common as (
   select l.host, l.line from (
-    select host, line, count(distinct text) as n, count(distinct prior) as b, count(distinct later) as a from lines group by host, line
+    select host, line, count(distinct text) as n, list_sort([count(distinct lines[1]), count(distinct lines[1 + (len(lines) - 1) // 4]), count(distinct lines[1 + (len(lines) - 1) * 2 // 4]),
+      count(distinct lines[1 + (len(lines) - 1) * 3 // 4]), count(distinct lines[len(lines)])])[3] as rest
+    from lines group by host, line
   ) l join hosts h on l.host is not distinct from h.host
-  where n > greatest(10.0, docs * 0.001) and greatest(a, b) >= n * 0.75
+  where n > greatest(10.0, docs * 0.001) and rest >= n * 0.5
 ), gone as (
   select l.host, l.text, sum(len(string_split(l.line, ' '))) as n
   from lines l join common c on l.host is not distinct from c.host and l.line = c.line group by l.host, l.text

@@ -67,11 +67,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     ranked = events.withColumn("kind", kind).withColumn("_n", F.row_number().over(order))
     ranked = ranked.withColumn("_from", F.max(F.when(F.col("kind") != "delta", F.col("_n"))).over(whole)).withColumn("_place", F.min("seq").over(whole))
+    ranked = ranked.withColumn("_role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_n"))).over(whole))
     live = ranked.where(F.col("_n") >= F.coalesce("_from", F.lit(0)))
     piece = F.struct("_n", F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
     folded = live.groupBy("conv_id", "message_id").agg(
         F.min("_place").alias("place"),
-        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_n"))), F.lit("")).alias("role"),
+        F.coalesce(F.max("_role"), F.lit("")).alias("role"),
         F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["text"]), "").alias("text"),
         F.max_by("kind", "_n").alias("_last"),
         F.max(F.when(F.col("kind") == "delete", F.col("_n"))).alias("_deleted"),

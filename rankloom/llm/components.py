@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialised
+from rankloom.llm.common import materialised, small
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's larger (or not larger) neighbours are tied to the smallest of its neighbours and itself. A node's neighbours are
-    reduced to their minimum by partial sums and met again in a join, so that a node of very many is split like any skewed key."""
+    reduced to their minimum by partial sums, which is written; the join with it then has no sum in its stage, and a node of very
+    many neighbours is split like any skewed key."""
     there = edges.select(F.greatest("u", "v").alias("n"), F.least("u", "v").alias("m"))
     if large:
         there = there.unionByName(there.select(F.col("m").alias("n"), F.col("n").alias("m")))
     least = there.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low")).withColumnRenamed("n", "_n")
+    least = small(materialised(least, "least"), 24)
     met = there.join(least, F.col("n") == F.col("_n"))
     if large:
         out = met.where(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("low").alias("v"))

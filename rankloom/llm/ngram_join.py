@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialised, small, text_of
+from rankloom.llm.common import NOT_SPACE, materialised, small, text_of
 from rankloom.llm.components import components
 
 
@@ -303,11 +303,12 @@ def _candidates(copies: DataFrame, settings: Settings) -> DataFrame:
 
 def _shingled(docs: DataFrame, wanted: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
     """``wanted`` (``id, ta, tb, key, ...``) with the shingles of its texts, which are read again."""
-    text = text_of(text_col)
     rest = [c for c in wanted.columns if c not in ("id", "ta", "tb")]
+    texts = docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_text"))
+    text = F.col("_text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name in rest)
-    same = F.col(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("ta")) & (F.xxhash64(F.lit("second"), text) == F.col("tb"))
-    found = docs.select(id_col, F.col(text_col)).join(small(wanted, 64), same).select(*rest, text.alias("text"))
+    same = F.col("_doc").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("ta")) & (F.xxhash64(F.lit("second"), text) == F.col("tb"))
+    found = texts.join(small(wanted, 64), same).select(*rest, text.alias("text"))
 
     def run(batches):
         shingler = Shingler(settings.width)
@@ -374,9 +375,12 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = rows.withColumnsRenamed({c: f"r{c}" for c in rows.columns})
     kept = kept.join(rows, kept["_id"].eqNullSafe(rows["r_id"]) & (F.col("_ta") == F.col("r_ta")) & (F.col("_tb") == F.col("r_tb"))).select("_id", "_ta", "_tb", F.col("r_rows").alias("_rows"))
     kept = small(materialised(kept, "kept"), 40)
-    text = text_of("text")
+    # the row as one struct, so that no name of its columns meets one of ours
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", text_of("text").alias("text"))
+    text = F.col("text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_ta")) & (F.xxhash64(F.lit("second"), text) == F.col("_tb"))
-    met = docs.join(kept, same)
+    met = packed.join(kept, same)
     repeated = met.where(F.col("_rows") > 1).dropDuplicates(["_id", "_ta", "_tb"])
-    silent = docs.where(~text.rlike(r"[^\x20\x09-\x0D]"))
-    return met.where(F.col("_rows") == 1).select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(silent)
+    silent = packed.where(~text.rlike(NOT_SPACE))
+    out = met.where(F.col("_rows") == 1).select("row").unionByName(repeated.select("row")).unionByName(silent.select("row"))
+    return out.select([F.col("row")[c].alias(c) for c in docs.columns])

@@ -82,3 +82,14 @@ def least_loaded(devices: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The healthy device with the fewest requests in flight, the first of several; no row if none is healthy."""
     picked = devices.where("healthy").groupBy(*keys).agg(F.min_by("device_id", F.struct("in_flight", "device_id")).alias("device_id"))
     return picked.where(F.col("device_id").isNotNull())
+
+
+def within_target(stats: DataFrame, target: float = 20.0) -> DataFrame:
+    """``stats`` with ``within_target``: whether half of the requests take at most ``target`` milliseconds."""
+    return stats.withColumn("within_target", F.coalesce(F.col("p50") <= target, F.lit(False)))
+
+
+def observed(scored: DataFrame, name: str = "scores") -> DataFrame:
+    """``scored`` as it is; when it runs, its score distribution goes to listeners under ``name``, without a pass of its own."""
+    s = F.col("score")
+    return scored.observe(name, F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("low"), F.max(s).alias("high"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import BatchConfig, CanaryConfig, CascadeConfig, DriftConfig, FusionConfig
 from rankloom.functions import columns as C
-from rankloom.operators import calibration, cascade, drift, evaluation, fusion, rank, retrieval, rollout, scorers, statistics
+from rankloom.operators import calibration, cascade, drift, evaluation, experiment, fusion, rank, retrieval, rollout, scorers, statistics
 from rankloom.session import table
 from rankloom.sources.registry import requests_from_json
 
@@ -464,6 +464,24 @@ def canary_route(spark, sf_dir):
     return requests(spark, sf_dir).select("event_id", C.canary_routed(F.col("n"), F.lit(25), F.lit(True)).alias("canary"))
 
 
+@query(f"""with {REQUESTS},
+configs as (
+  select model, ts as since, cast(50 + n % 50 as bigint) as a, cast(n % 50 as bigint) as b, case when n % 600 = 500 then 'b' end as retain from requests where n % 100 = 0
+),
+met as (
+  select r.event_id, r.user_id, case when c.retain is null then c.a else 0 end as a, case when c.retain is null then c.b else 1 end as b, c.model is not null as found, c.retain is null as active
+  from requests r asof left join configs c on r.model = c.model and r.ts >= c.since
+)
+select event_id, found and active as active, case when not found then null when {bucket('user_id', 2**31)} % (a + b) < a then 'a' else 'b' end as variant from met""")
+def ab_lifecycle(spark, sf_dir):
+    asked = requests(spark, sf_dir).select("model", F.col("ts").alias("at"), "event_id", "user_id", "n")
+    stopped = F.when(F.col("n") % 600 == 500, "b")
+    configs = asked.where("n % 100 = 0").select("model", "at", (50 + F.col("n") % 50).alias("weight_a"), (F.col("n") % 50).alias("weight_b"), stopped.alias("retain"))
+    found = experiment.configured(asked, configs, ("model",))
+    config = F.col("config")
+    return found.select("event_id", F.coalesce(config["active"], F.lit(False)).alias("active"), experiment.variant(F.col("user_id"), config).alias("variant"))
+
+
 @query(f"""with recursive {REQUESTS},
 ticks as (
   select model, n as tick, epoch_ms(ts) / 1000.0::double as t0, case when value > 150 and event_id % 5 = 0 then 'Warning' else 'Stable' end as drift, value < 250 as ok from requests

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import broadcast_if, is_small
+
 
 def gain(rel: Column, rank: Column) -> Column:
     """What a grade of ``rel`` is worth at a 1-based rank."""
@@ -52,7 +54,7 @@ def sampled_negatives(queries: DataFrame, corpus: DataFrame, judged: DataFrame,
     by_doc = Window.partitionBy("qid").orderBy("doc_id")
     first = known.select("qid", "doc_id", "rel", (F.row_number().over(by_doc) - 1).alias("idx"))
     have = first.groupBy("qid").agg(F.count(F.lit(1)).alias("have"))
-    pool = corpus.select("doc_id").join(F.broadcast(queries.select("qid"))).join(judged.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    pool = corpus.select("doc_id").join(broadcast_if(is_small(queries), queries.select("qid"))).join(judged.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid"), F.col("doc_id"))), "doc_id")
     drawn = pool.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).join(have, "qid", "left")
     rest = drawn.withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("n") <= F.lit(top) - F.col("have"))

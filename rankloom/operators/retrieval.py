@@ -8,19 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.columns import all_tokens, tokens
-
-#: Queries' tokens are broadcast while they are fewer than this; above it, the join shuffles by token.
-BROADCAST_TOKENS = 500_000
-
+from rankloom.session import broadcast_if, is_small
 
 class Retriever(Protocol):
     def search(self, queries: DataFrame, k: int) -> DataFrame: ...
 
 
-def query_tokens(queries: DataFrame) -> DataFrame:
-    """``qid, token``, with a broadcast hint while there are few."""
+def query_tokens(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """``qid, token``, and whether they are few enough for a broadcast; if not, joins with them shuffle by token."""
     out = queries.select("qid", F.explode(tokens(F.col("query"))).alias("token"))
-    return F.broadcast(out) if out.count() <= BROADCAST_TOKENS else out
+    return out, is_small(out)
 
 
 class Bm25:
@@ -34,16 +31,16 @@ class Bm25:
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """``qid, idx, doc_id, score``: the ``k`` best documents of each query, equal scores by document."""
-        asked = query_tokens(queries)
+        asked, few = query_tokens(queries)
         docs = self.corpus.select("doc_id", all_tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
         n, mean = docs.agg(F.count(F.lit(1)), F.avg("length")).first()
-        counted = docs.select("doc_id", "length", F.explode("words").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+        counted = docs.select("doc_id", "length", F.explode("words").alias("token")).join(broadcast_if(few, asked.select("token").distinct()), "token", "left_semi")
         postings = counted.groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
         df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         idf = F.ln(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf") * (self.k1 + 1.0) / (F.col("tf") + self.k1 * (1.0 - self.b + self.b * F.col("length") / F.lit(float(mean or 1.0))))
         weighed = asked.join(df, "token").select("qid", "token", idf.alias("idf"))
-        parts = postings.join(F.broadcast(weighed), "token").select("qid", "doc_id", (F.col("idf") * tf).alias("part"))
+        parts = postings.join(broadcast_if(few, weighed), "token").select("qid", "doc_id", (F.col("idf") * tf).alias("part"))
         scored = parts.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
         order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
         return scored.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < k).select("qid", "idx", "doc_id", "score")

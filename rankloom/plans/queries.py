@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.config import BatchConfig, CanaryConfig, CascadeConfig, DriftConfig, FusionConfig
 from rankloom.functions import columns as C
 from rankloom.operators import calibration, cascade, drift, evaluation, experiment, fusion, rank, retrieval, rollout, scorers, statistics
-from rankloom.session import table
+from rankloom.session import broadcast_if, table
 from rankloom.sources.registry import requests_from_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,8 +42,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = q.select("qid", F.size(C.tokens(F.col("query"))).alias("nq"))
     docs = table(spark, sf_dir, "documents").select("doc_id", C.tokens(F.col("text")).alias("words"))
     words = docs.select("doc_id", F.size("words").alias("nd"), F.explode("words").alias("token"))
-    met = words.join(retrieval.query_tokens(q), "token").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("inter"), F.first("nd").alias("nd"))
-    return met.join(F.broadcast(sized), "qid")
+    asked, few = retrieval.query_tokens(q)
+    met = words.join(broadcast_if(few, asked), "token").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("inter"), F.first("nd").alias("nd"))
+    return met.join(broadcast_if(few, sized), "qid")
 
 
 #: Scores over ``pairs``: a logit of the share of the query's tokens, and the Jaccard similarity of the token sets.

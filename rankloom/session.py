@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only if it has been counted and has no more rows than this.
+BROADCAST_ROWS = 500_000
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -25,3 +29,13 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; reads no more than it takes to know."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint, or left to the planner."""
+    return F.broadcast(df) if small else df

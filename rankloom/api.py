@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -48,6 +49,10 @@ class Reranker:
         rows = sorted(found.collect(), key=lambda r: r["rank"])
         return [Result(r["idx"], r["score"], r["document"] if return_documents else None) for r in rows]
 
+    async def arerank(self, query: str, documents: Sequence[str], top_k: int | None = None, return_documents: bool = False) -> list[Result]:
+        """``rerank`` in a thread of its own, for callers that must not wait."""
+        return await asyncio.to_thread(self.rerank, query, documents, top_k, return_documents)
+
     def rerank_hybrid(self, query: str, documents: Sequence[str], lexical_scores: Sequence[float], alpha: float = 0.5) -> list[Result]:
         """All documents by the fusion of their given scores (weight ``1 - alpha``) and the scorer's (``alpha``)."""
         if len(documents) != len(lexical_scores):

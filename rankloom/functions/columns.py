@@ -108,3 +108,8 @@ def graded(score: Column) -> Column:
     """A relevance of 0 to 255 from text; anything else is 0."""
     number = F.trim(score).try_cast("int")
     return F.when(number.between(0, 255), number).otherwise(0).cast("smallint")
+
+
+def rotating(ordinal: Column, n: int) -> Column:
+    """A 0-based index that walks through ``n`` places again and again."""
+    return F.pmod(ordinal, F.lit(n))

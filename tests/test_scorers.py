@@ -1,5 +1,7 @@
 """The ONNX scorer with a model made here, and the small API."""
 
+import asyncio
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -110,6 +112,16 @@ def test_reranker(spark):
         r.rerank("red fox", docs)
 
 
+def test_reranking_without_waiting(spark):
+    r = api.Reranker(spark, scorers.LexicalScorer())
+
+    async def both():
+        return await asyncio.gather(r.arerank("red fox", ["blue", "red fox"]), r.arerank("blue", ["blue", "red fox"], 1))
+
+    one, two = asyncio.run(both())
+    assert [x.index for x in one] == [1, 0] and [x.index for x in two] == [0]
+
+
 def test_pipeline(spark):
     corpus = spark.createDataFrame([(1, "the red fox runs"), (2, "red red red"), (3, "nothing")], "doc_id bigint, text string")
     found = api.Pipeline(retrieval.Bm25(corpus), corpus, api.Reranker(spark, scorers.LexicalScorer())).search("red fox", 1)

@@ -1,13 +1,15 @@
 """Streams give what their batch twins give."""
 
 import json
+import time
 
 import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from rankloom import sinks
 from rankloom.config import CanaryConfig, DriftConfig
-from rankloom.operators import drift, rollout, scorers
+from rankloom.operators import drift, rollout, scorers, statistics
 from rankloom.streaming import monitor, serving
 
 
@@ -82,3 +84,26 @@ def test_variant_stream(spark):
     rows = spark.createDataFrame([("a", float(i), False) for i in range(100)] + [("a", 1.0, True)], "variant string, latency double, is_error boolean")
     found = monitor.variant_stream(rows).first()
     assert (found["n"], found["errors"], found["mean"]) == (100, 1, 49.5)
+
+
+def test_progress_and_json(spark, tmp_path):
+    told = []
+    listener = sinks.Progress(told.append)
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 5).load().withColumn("score", F.lit(0.5))
+        query = statistics.observed(stream).writeStream.foreachBatch(lambda b, _: sinks.append_json(b.select("value", F.lit(None).cast("int").alias("gone")), str(tmp_path / "out")))
+        query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start()
+        while not (query.lastProgress and query.lastProgress["batchId"] >= 1):
+            time.sleep(0.1)
+        query.stop()
+        for _ in range(50):
+            if any(t["event"] == "terminated" for t in told):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = [t for t in told if t["event"] == "progress" and t["numInputRows"]]
+    assert rows and rows[0]["observedMetrics"]["scores"]["mean"] == 0.5
+    found = spark.read.json(str(tmp_path / "out"))
+    assert found.columns == ["value"] and found.count() >= 5

@@ -23,6 +23,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from rankloom.llm.common import small_batches
+
 # Classes of code points.
 OTHER, LETTER, NUMBER, WHITE, BLANK, QUOTE, BREAK = range(7)
 #: The code points with the property White_Space, but for the blank.
@@ -205,7 +207,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     names=[id_col, "ids", "offsets"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, offsets array<bigint>")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, offsets array<bigint>")
 
 
 def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -241,4 +243,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 columns = [pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(data, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

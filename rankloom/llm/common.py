@@ -38,6 +38,26 @@ def hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most 1000 rows unless it has chosen a number: texts of some kilobytes would
+    otherwise make batches of tens of megabytes, several times over in the JVM and in each Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
+def packed_row(df: DataFrame, *without: str):
+    """The columns of ``df`` but for some, as one struct ``row``: then no name of theirs meets a name used inside an operator."""
+    names = [c for c in df.columns if c not in without]
+    return F.struct(*(F.col(f"`{c}`") for c in names) if names else (F.lit(0).alias("none"),)).alias("row")
+
+
+def unpacked(df: DataFrame, changed: dict[str, Column], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` again: those in ``changed`` as given there, the others out of ``row``."""
+    return [(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in df.columns if c not in without]
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

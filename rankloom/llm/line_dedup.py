@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import SPACE, materialised, small, text_of
+from rankloom.llm.common import SPACE, materialised, packed_row, small, small_batches, text_of, unpacked
 
 
 #: Space and U+0009 to U+000D, one by one.
@@ -130,8 +130,9 @@ def _cut(batches):
 
 
 def cut(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """``row`` (a struct of the columns of ``docs``, so that no name of theirs meets one of ours), ``text``, ``n_lines``, ``n_deleted``."""
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """``row`` (a struct of the other columns of ``docs``), ``text``, ``n_lines``, ``n_deleted``."""
+    docs = small_batches(docs)
+    kept = docs.select(packed_row(docs, text_col), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     text = text_of("text")
     ta, tb = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
     rows = kept.select(F.col("id").isNull().alias("no"), F.col("id").alias("doc"), ta.alias("t"), tb.alias("u"), spoken_lines(text).alias("lines")).where(F.size("lines") > 0)
@@ -155,11 +156,6 @@ def cut(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     return ready.mapInArrow(_cut, f"row {kept.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_deleted bigint")
 
 
-def _columns(docs: DataFrame, changed: dict[str, Column], without: tuple[str, ...] = ()) -> list[Column]:
-    """The columns of ``docs`` out of ``row``, some of them changed."""
-    return [changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns if c not in without]
-
-
 def deduplicated(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with the text's later copies of line runs deleted; and ``n_lines`` (with a word), ``n_deleted``,
     which take the place of columns of these names.
@@ -170,7 +166,7 @@ def deduplicated(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
     table gives no rows.
     """
     ours = ("n_lines", "n_deleted")
-    return cut(docs, least, id_col, text_col).select(*_columns(docs, {text_col: F.col("text")}, ours), *ours)
+    return cut(docs, least, id_col, text_col).select(*unpacked(docs, {text_col: F.col("text")}, ours), *ours)
 
 
 def filtered(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -179,4 +175,4 @@ def filtered(docs: DataFrame, least: int = 50) -> DataFrame:
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return out.select(_columns(docs, changed))
+    return out.select(unpacked(docs, changed))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_SPACE, materialised, small, text_of
+from rankloom.llm.common import NOT_SPACE, materialised, packed_row, small, small_batches, text_of, unpacked
 from rankloom.llm.components import components
 
 
@@ -156,7 +156,7 @@ def sketches(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
     """``id, ta, tb, key, prefixes, bytes``: the key is null for a text without words."""
     text = text_of(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit("second"), text).alias("tb"), text.alias("text"))
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit("second"), text).alias("tb"), text.alias("text"))
 
     def run(batches):
         shingler, forest = Shingler(settings.width), Forest(settings.trees, settings.depth)
@@ -375,12 +375,11 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = rows.withColumnsRenamed({c: f"r{c}" for c in rows.columns})
     kept = kept.join(rows, kept["_id"].eqNullSafe(rows["r_id"]) & (F.col("_ta") == F.col("r_ta")) & (F.col("_tb") == F.col("r_tb"))).select("_id", "_ta", "_tb", F.col("r_rows").alias("_rows"))
     kept = small(materialised(kept, "kept"), 40)
-    # the row as one struct, so that no name of its columns meets one of ours
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", text_of("text").alias("text"))
-    text = F.col("text")
+    packed = docs.select(packed_row(docs, "text"), "doc_id", "text")
+    text = text_of("text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_ta")) & (F.xxhash64(F.lit("second"), text) == F.col("_tb"))
     met = packed.join(kept, same)
     repeated = met.where(F.col("_rows") > 1).dropDuplicates(["_id", "_ta", "_tb"])
     silent = packed.where(~text.rlike(NOT_SPACE))
-    out = met.where(F.col("_rows") == 1).select("row").unionByName(repeated.select("row")).unionByName(silent.select("row"))
-    return out.select([F.col("row")[c].alias(c) for c in docs.columns])
+    out = met.where(F.col("_rows") == 1).select("row", "text").unionByName(repeated.select("row", "text")).unionByName(silent.select("row", "text"))
+    return out.select(unpacked(docs, {"text": F.col("text")}))

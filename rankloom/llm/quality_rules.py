@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_SPACE, SPACE, let, materialised, small, text_of
+from rankloom.llm.common import NOT_SPACE, SPACE, let, materialised, packed_row, small, text_of, unpacked
 
 
 @dataclass(frozen=True)
@@ -154,17 +154,16 @@ def filtered(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     verdicts = judged(docs, limits=limits)
     keys = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("ta").alias("_ta"), F.col("tb").alias("_tb"), "gone")
     keys = small(materialised(keys.dropDuplicates(["_id", "_host", "_ta", "_tb"]), "kept"), 64)
-    # the row as one struct, so that no name of its columns meets one of ours
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", text_of("text").alias("text"))
-    text = F.col("text")
+    rows = docs.select(packed_row(docs, "text"), "doc_id", "source", "text")
+    text = text_of("text")
     on = (
         F.col("doc_id").eqNullSafe(F.col("_id"))
         & F.col("source").eqNullSafe(F.col("_host"))
         & (F.xxhash64(text) == F.col("_ta"))
         & (F.xxhash64(F.lit("second"), text) == F.col("_tb"))
     )
-    out = rows.join(keys, on).withColumn("text", without_lines(text, F.col("gone")))
+    out = rows.join(keys, on).withColumn("text", without_lines(F.col("text"), F.col("gone")))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return out.select([changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return out.select(unpacked(docs, changed))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_SPACE
+from rankloom.llm.common import NOT_SPACE, small_batches
 
 RUN = re.compile(NOT_SPACE + "+")
 EDGES = ".,;:!?\"()"
@@ -40,7 +40,7 @@ class Sample:
 
     toxic: int = 1500
     ordinary: int = 4500
-    chars: int = 50_000
+    chars: int = 20_000
 
 
 def words_of(text: str) -> list[str]:
@@ -201,7 +201,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(texts), pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -229,4 +229,4 @@ def filtered(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), thre
                 keep = score([t or "" for t in part.column(at).to_pylist()]) < threshold
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

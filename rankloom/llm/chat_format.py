@@ -39,20 +39,22 @@ def unescaped(text: str) -> str:
 
 
 def events_from_turns(turns: DataFrame) -> DataFrame:
-    """Rows of ``conv_id, turn, role, text`` as events. Rows that tie on a turn stay apart, ordered by role and text."""
+    """Rows of ``conv_id, turn, role, text`` as events, their messages named by ``turn`` and ``tie``. Rows that tie on a turn stay
+    apart, ordered by role and text. What is dealt by conversation and turn here need not be dealt again to be folded."""
     tie = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     return turns.select(
         "conv_id",
         F.col("turn").alias("seq"),
-        F.struct(F.col("turn").alias("turn"), F.row_number().over(tie).alias("tie")).alias("message_id"),
+        "turn",
+        F.row_number().over(tie).alias("tie"),
         F.lit("message").alias("kind"),
         "role",
         "text",
     )
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages from events ``conv_id, seq, message_id, kind, role, text``.
+def fold_events(events: DataFrame, message: tuple[str, ...] = ("message_id",)) -> DataFrame:
+    """Final messages from events ``conv_id, seq, message_id, kind, role, text``; ``message`` are the columns that name a message.
 
     ``message`` and ``edit`` set a message's text, ``regenerate`` clears it for the deltas that follow, ``delta``
     appends, ``delete`` takes the message away unless a later event sets it again. A message stands where its first
@@ -60,7 +62,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     ties in ``seq`` are ordered by kind, role and text. No events give no messages.
     Returns ``conv_id, message_id, place, role, text``.
     """
-    whole = Window.partitionBy("conv_id", "message_id")
+    whole = Window.partitionBy("conv_id", *message)
     order = whole.orderBy("seq", "kind", "role", "text")
     kind = F.when(F.col("kind").isin("message", "edit", "regenerate", "delta", "delete"), F.col("kind")).otherwise(
         F.raise_error(F.concat(F.lit("unknown event kind: "), F.coalesce("kind", F.lit("null")))).cast("string")
@@ -70,7 +72,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("_role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_n"))).over(whole))
     live = ranked.where(F.col("_n") >= F.coalesce("_from", F.lit(0)))
     piece = F.struct("_n", F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
-    folded = live.groupBy("conv_id", "message_id").agg(
+    folded = live.groupBy("conv_id", *message).agg(
         F.min("_place").alias("place"),
         F.coalesce(F.max("_role"), F.lit("")).alias("role"),
         F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["text"]), "").alias("text"),
@@ -78,7 +80,9 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "delete", F.col("_n"))).alias("_deleted"),
         F.max("_n").alias("_end"),
     )
-    return folded.where(F.col("_deleted").isNull() | (F.col("_deleted") < F.col("_end"))).select("conv_id", "message_id", "place", "role", "text")
+    name = F.col(message[0]) if len(message) == 1 else F.struct(*message)
+    name = name.alias("message_id")
+    return folded.where(F.col("_deleted").isNull() | (F.col("_deleted") < F.col("_end"))).select("conv_id", name, "place", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -176,6 +180,6 @@ def formatted_texts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["segment"]), "").alias("formatted"))
 
 
-def format_conversations(events: DataFrame) -> DataFrame:
+def format_conversations(events: DataFrame, message: tuple[str, ...] = ("message_id",)) -> DataFrame:
     """Rendered segments of an event log; see ``fold_events`` and ``render``."""
-    return render(fold_events(events))
+    return render(fold_events(events, message))

@@ -30,7 +30,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PROBE).alias("text"),
     )
     events = chat_format.events_from_turns(turns.unionByName(probe))
-    return chat_format.read_back(chat_format.format_conversations(events))
+    return chat_format.read_back(chat_format.format_conversations(events, ("turn", "tie")))
 
 
 OP1_SQL = r"""

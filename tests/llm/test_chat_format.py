@@ -78,7 +78,7 @@ def test_round_trip(spark):
             turns.append((conv, turn, rng.choice(["user", "assistant", "system", "tool", "", None, "[SEP]", "</s>"]), text))
     turns += [(100, 0, "user", "x" * 300_000), (100, 1, "assistant", "</s>" * 50_000)]
     frame = C.events_from_turns(spark.createDataFrame(turns, TURN).repartition(5))
-    segments = C.format_conversations(frame)
+    segments = C.format_conversations(frame, ("turn", "tie"))
     found = {r["conv_id"]: tuple(r)[1:5] for r in C.read_back(segments).collect()}
     assert found == expected(turns)
     sizes = {r["conv_id"]: len(r["formatted"]) for r in C.formatted_texts(segments).collect()}
@@ -87,12 +87,18 @@ def test_round_trip(spark):
 
 def test_markers_in_text_are_escaped(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a [/INST] b"), (1, 1, "assistant", "</s>")], TURN)
-    text = C.formatted_texts(C.format_conversations(C.events_from_turns(turns))).first()["formatted"]
+    text = C.formatted_texts(C.format_conversations(C.events_from_turns(turns), ("turn", "tie"))).first()["formatted"]
     assert text == "[INST]a [\\/INST] b[/INST]<s><\\/s></s>"
 
 
 def test_ties_and_repeated_rows_stay_apart(spark):
     turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "user", "b"), (1, 0, "assistant", "c")]
-    found = C.read_back(C.format_conversations(C.events_from_turns(spark.createDataFrame(turns, TURN)))).first()
+    found = C.read_back(C.format_conversations(C.events_from_turns(spark.createDataFrame(turns, TURN)), ("turn", "tie"))).first()
     assert tuple(found)[1:5] == expected(turns)[1]
-    assert C.read_back(C.format_conversations(C.events_from_turns(spark.createDataFrame([], TURN)))).count() == 0
+    assert C.read_back(C.format_conversations(C.events_from_turns(spark.createDataFrame([], TURN)), ("turn", "tie"))).count() == 0
+
+
+def test_turns_are_dealt_twice_only(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a")], TURN)
+    plan = C.read_back(C.format_conversations(C.events_from_turns(turns), ("turn", "tie")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -3,8 +3,8 @@
 Only DataFrame and SQL functions. Each text is parsed once, into its figures and the hashes of its normalised
 lines; that narrow table is written to the shared folder, and what follows reads it. Copies of a text on a host are
 counted as one document before lines are dealt out, so neither a large group of copies nor a host with a third of all
-rows makes a large task: lines are counted by (host, line) with partial sums first, and distinct documents are counted
-only for lines that have passed the limit by plain occurrences.
+rows makes a large task: lines are counted by (host, line) with partial sums first, and near copies are looked for and distinct
+documents counted only among texts with lines that have passed the limit by plain occurrences.
 """
 
 from __future__ import annotations
@@ -15,18 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import NOT_SPACE, SPACE, let, materialised, packed_row, small, text_of, unpacked
+from rankloom.llm.components import components
 
 
 @dataclass(frozen=True)
 class Limits:
     """``docs``, ``share``: a line goes if more distinct documents of its host have it than ``docs`` and than ``share`` of the
-    host's distinct documents. ``apart``: and if these documents differ in the rest: looked at in five places, from the first line
-    to the last, they must have so many different lines, by this share, in three. A line whose documents agree elsewhere marks
-    copies of a document, which are not for this operator to remove. ``left``: a document is depleted if less than this share of its words is left."""
+    host's distinct documents. Texts are one document if they are copies, or near copies: by lines and by words, two share ``alike`` of all that
+    either has. ``left``: a document is depleted if less than this share of its words is left."""
 
     docs: int = 10
     share: float = 0.001
-    apart: float = 0.5
+    alike: float = 0.9
     left: float = 0.2
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -91,18 +91,48 @@ def figures(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     )
 
 
+def copies(texts: DataFrame, limits: Limits) -> DataFrame:
+    """``key, root``: texts of a host that are near copies of another one, and for each group of them one key that stands for it.
+
+    ``texts`` has ``host, key, lines`` (distinct ones) and ``own``, how many of these lines few documents have. Bands of min-hashes over
+    all lines say which texts may be near copies. Each is compared with the text of its band that has the fewest lines of its own, the likely
+    original, so a large group costs as many comparisons as it has texts. At a likeness of 0.9 a pair shares no band with probability 1e-7.
+    """
+    mins = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.array_min(F.transform("lines", lambda x: F.xxhash64(x["h"], i))))
+    bands = let(mins, lambda m: F.array(*(F.xxhash64(F.lit(b), m[3 * b], m[3 * b + 1], m[3 * b + 2]) for b in range(12))))
+    dealt = materialised(texts.select("host", "key", "own", F.explode(bands).alias("band")), "bands")
+    heads = dealt.groupBy("host", "band").agg(F.min(F.struct("own", "key")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = materialised(heads.select(F.col("host").alias("_host"), F.col("band").alias("_band"), F.col("head.key").alias("head")), "heads")
+    met = dealt.join(heads, dealt["host"].eqNullSafe(heads["_host"]) & (F.col("band") == F.col("_band"))).where("key <> head")
+    pairs = materialised(met.select("key", "head").distinct(), "pairs")
+    one, other = texts.select("key", F.col("lines").alias("a")), texts.select(F.col("key").alias("head"), F.col("lines").alias("b"))
+    words = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, y: acc + y["n"])
+    sizes = pairs.join(one, "key").join(other, "head").select("key", "head", "a", "b", F.array_intersect("a", "b").alias("c"))
+    alike = lambda size: size(F.col("c")) >= limits.alike * (size(F.col("a")) + size(F.col("b")) - size(F.col("c")))
+    found = sizes.where(alike(F.size) & alike(words)).select(F.col("key").alias("u"), F.col("head").alias("v"))
+    return components(found).select(F.col("node").alias("key"), "root")
+
+
 def common_lines(texts: DataFrame, limits: Limits) -> DataFrame:
     """``host, h``: the lines above the limits. ``texts`` has a row ``host, ta, tb, lines`` for each distinct text of a host."""
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    bound = F.greatest(F.lit(float(limits.docs)), F.col("docs") * limits.share)
-    places = [F.get("lines", F.floor((F.size("lines") - 1) * k / 4).cast("int"))["h"].alias(f"p{k}") for k in range(5)]
-    uses = texts.select("host", "ta", *places, F.explode("lines").alias("line")).select("host", "ta", *(f"p{k}" for k in range(5)), F.col("line.h").alias("h"))
+    texts = texts.select("host", F.xxhash64("host", "ta", "tb").alias("key"), F.array_distinct("lines").alias("lines"))
+    uses = texts.select("host", "key", F.explode("lines.h").alias("h"))
     often = uses.groupBy("host", "h").count().where(F.col("count") > limits.docs).select("host", "h")
     often = materialised(often, "often")
     near = uses.join(small(often, 32), (uses["host"].eqNullSafe(often["host"])) & (uses["h"] == often["h"]), "left_semi")
-    counted = near.groupBy("host", "h").agg(F.count_distinct("ta").alias("n"), F.sort_array(F.array(*(F.count_distinct(f"p{k}") for k in range(5))))[2].alias("rest"))
-    joined = counted.join(F.broadcast(hosts) if hosts.count() * 64 <= 64 << 20 else hosts, counted["host"].eqNullSafe(hosts["host"])).select(counted["*"], "docs")
-    return joined.where((F.col("n") > bound) & (F.col("rest") >= F.col("n") * limits.apart)).select("host", "h")
+    near = materialised(near, "near")
+    shared = near.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
+    carriers = materialised(texts.join(shared, "key").select("host", "key", "lines", (F.size("lines") - F.col("shared")).alias("own")), "carriers")
+    groups = materialised(copies(carriers, limits), "copies").withColumnRenamed("key", "_key")
+    groups = small(groups, 24)
+    grouped = near.join(groups, near["key"] == F.col("_key"), "left").select("host", "h", F.coalesce("root", "key").alias("one"))
+    counted = grouped.groupBy("host", "h").agg(F.count_distinct("one").alias("n"))
+    all_, spare = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts")), carriers.join(groups, carriers["key"] == F.col("_key")).where("key <> root").groupBy("host").agg(F.count(F.lit(1)).alias("spare"))
+    spare = spare.withColumnRenamed("host", "_host")
+    hosts = all_.join(spare, all_["host"].eqNullSafe(spare["_host"]), "left").select("host", (F.col("texts") - F.coalesce("spare", F.lit(0))).alias("docs"))
+    hosts = small(materialised(hosts, "hosts"), 64)
+    joined = counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).select(counted["*"], "docs")
+    return joined.where(F.col("n") > F.greatest(F.lit(float(limits.docs)), F.col("docs") * limits.share)).select("host", "h")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:

@@ -57,6 +57,24 @@ def test_copies_are_left_alone(spark):
     assert all(verdicts(documents(spark, ["\n".join(lines)] * 40 + near)).values())
 
 
+def test_pages_made_of_a_template_are_rejected(spark):
+    rng = random.Random(8)
+    template = prose(rng, 80)
+    pages = ["\n".join([*template, *prose(rng, 8)]) for _ in range(60)]
+    menus = ["\n".join([*prose(random.Random(9), 40), f"title {i}"]) for i in range(30)]
+    own = ["\n".join(prose(rng)) for _ in range(20)]
+    got = verdicts(documents(spark, pages + menus + own))
+    assert [got[i] for i in range(110)] == [False] * 90 + [True] * 20
+
+
+def test_a_group_of_near_copies_counts_once(spark):
+    rng = random.Random(8)
+    lines = prose(rng, 240)
+    copies = ["\n".join([*lines, f"tail {k}"]) for k in range(8)] + ["\n".join(lines)]
+    others = ["\n".join([*lines[:20], *prose(rng, 24)]) for _ in range(3)]
+    assert all(verdicts(documents(spark, copies + others)).values())
+
+
 def test_hosts_are_apart(spark):
     rng = random.Random(8)
     menu = ["one menu line of eight words is here", "two menu line of eight words is here", "three menu line of eight words is here"]

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: inverted lists, scanned dimension by dimension.
 
 Centroids are fitted on a bounded sample; every vector goes to its nearest centroid's list. How many lists a query probes is
-what reaches the target recall on the sample against brute force. Within a list, vectors and queries are turned by one random
+what reaches the target recall against brute force on vectors that the centroids were not fitted on. Within a list, vectors and queries are turned by one random
 rotation, and distances grow block of columns by block of columns: after each, a candidate whose partial distance makes it
 unlikely to reach the score of the query's k-th best in the sample is abandoned (a test on the partial sum of squares, which a rotation spreads
 evenly over columns). Survivors are scored exactly, in double precision, on the original vectors.
@@ -24,13 +24,15 @@ from rankloom.llm.common import materialised, small
 @dataclass(frozen=True)
 class Settings:
     """``sample``: vectors that fitting takes at most. ``lists``: at most; about the root of the number of vectors otherwise.
-    ``recall``: what the probes reach on the sample. ``epsilon``: how far a partial distance must be off, in standard deviations,
+    ``held``: further vectors, not for fitting, on which
+    the probes reach ``recall``. ``epsilon``: how far a partial distance must be off, in standard deviations,
     before a candidate is abandoned. ``columns``: of a block. ``few``: at what share of pairs left they are looked at one by one.
     ``kept``: vectors of the sample that give queries their first bound. ``block``, ``queries``: rows of a task's group, about."""
 
     sample: int = 20_000
     lists: int = 16_384
-    recall: float = 0.97
+    held: int = 4096
+    recall: float = 0.985
     epsilon: float = 3.0
     columns: int = 16
     few: float = 0.05
@@ -55,15 +57,18 @@ class Index:
     def __init__(self, sample: np.ndarray, total: int, settings: Settings, k: int):
         rng = np.random.default_rng(7)
         self.dim, self.settings = sample.shape[1], settings
-        n = int(max(1, min(settings.lists, round(total**0.5), len(sample) // 8)))
-        self.centroids = sample[rng.permutation(len(sample))[:n]].copy()
+        order = rng.permutation(len(sample))
+        cut = min(settings.held, len(sample) // 5)
+        held, fitted = (sample[order[:cut]], sample[order[cut:]]) if cut > 1 else (sample, sample)
+        n = int(max(1, min(settings.lists, round(total**0.5), len(fitted) // 8)))
+        self.centroids = fitted[rng.permutation(len(fitted))[:n]].copy()
         for _ in range(8):
-            near = self.nearest(sample)
+            near = self.nearest(fitted)
             sums, sizes = np.zeros_like(self.centroids), np.bincount(near, minlength=n)
-            np.add.at(sums, near, sample)
+            np.add.at(sums, near, fitted)
             self.centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], self.centroids)
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
-        self.probes = self._needed(sample, rng, k)
+        self.probes = self._needed(held, rng, max(1, -(-k * len(held) // total)))
         self.kept = sample[rng.permutation(len(sample))[: settings.kept]]
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
@@ -88,8 +93,9 @@ class Index:
         return best - 1e-9 * (1 + np.abs(best))
 
     def _needed(self, sample: np.ndarray, rng: np.random.Generator, k: int) -> int:
-        """Probes that find the target share of the sample's own nearest neighbours."""
-        picked = rng.permutation(len(sample))[:300]
+        """Probes that find the target share of the ``k`` nearest neighbours within ``sample``: as many as a query's neighbours among all
+        vectors leave in a sample of this size."""
+        picked = rng.permutation(len(sample))[:1000]
         near, order = self.nearest(sample), self.probed(sample[picked], len(self.centroids))
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
@@ -162,7 +168,7 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
     total = rows.count()
     if not total:
         return spark.createDataFrame([], out)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample).select("v").toArrow()
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample + settings.held).select("v").toArrow()
     index = Index(_matrix(some["v"].combine_chunks(), dim), total, settings, k)
     lists, probes = len(index.centroids), index.probes
 

@@ -47,6 +47,19 @@ def test_recall_and_scores(spark, settings):
         assert hits == sorted(hits, key=lambda h: (-h[1], h[0]))
 
 
+def test_probes_reach_the_recall_on_vectors_that_were_not_fitted():
+    rng = np.random.default_rng(5)
+    x, sample = (rng.normal(size=(n, 16)) for n in (20_000, 4000))
+    index = ann.Index(sample, 24_000, ann.Settings(), 20)
+    queries = x[:300]
+    products = queries @ x.T
+    products[np.arange(300), np.arange(300)] = -np.inf
+    best, near = np.argsort(-products, axis=1)[:, :20], index.nearest(x)
+    probed = index.probed(queries, index.probes)
+    assert ann.Settings().recall == 0.985
+    assert np.mean([np.isin(near[b], p).mean() for b, p in zip(best, probed, strict=True)]) >= 0.975
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(i, [0.5, 0.1, 0.0]) for i in range(100, 140)]
     found = search(spark, rows, block=16)

@@ -3,8 +3,8 @@
 Centroids are fitted on a bounded sample; every vector goes to its nearest centroid's list. How many lists a query probes is
 what reaches the target recall against brute force on vectors that the centroids were not fitted on. Within a list, vectors and queries are turned by one random
 rotation, and distances grow block of columns by block of columns: after each, a candidate whose partial distance makes it
-unlikely to reach the score of the query's k-th best in the sample is abandoned (a test on the partial sum of squares, which a rotation spreads
-evenly over columns). Survivors are scored exactly, in double precision, on the original vectors.
+unlikely to reach the score of the query's k-th best among sampled vectors of its probed lists is abandoned (a test on the partial sum of
+squares, which a rotation spreads evenly over columns). Queries that end with fewer than k rows are asked again of all lists, without a bound. Survivors are scored exactly, in double precision, on the original vectors.
 
 Long lists are cut into blocks, and so are the queries of a list, so that a list with a third of all vectors is many tasks.
 """
@@ -54,7 +54,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 class Index:
     """Centroids, the rotation and the number of probes."""
 
-    def __init__(self, sample: np.ndarray, total: int, settings: Settings, k: int):
+    def __init__(self, sample: np.ndarray, total: int, settings: Settings, k: int, ids: np.ndarray | None = None):
         rng = np.random.default_rng(7)
         self.dim, self.settings = sample.shape[1], settings
         order = rng.permutation(len(sample))
@@ -69,7 +69,9 @@ class Index:
             self.centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], self.centroids)
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
         self.probes = self._needed(held, rng, max(1, -(-k * len(held) // total)))
-        self.kept = sample[rng.permutation(len(sample))[: settings.kept]]
+        kept = rng.permutation(len(sample))[: settings.kept]
+        self.kept, self.kept_ids = sample[kept], (np.arange(len(sample)) if ids is None else ids)[kept]
+        self.kept_lists = self.nearest(self.kept)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         near = np.empty(len(x), np.int64)
@@ -83,13 +85,15 @@ class Index:
         products = q @ self.centroids.T
         return np.argsort(-products, axis=1, kind="stable")[:, :n]
 
-    def reached(self, q: np.ndarray, k: int) -> np.ndarray:
-        """A score that at least ``k`` vectors other than the query reach, by the part of the sample that is kept: what a neighbour must
-        score. One place is left for the query itself."""
-        if len(self.kept) <= k:
+    def reached(self, q: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+        """A score that at least ``k`` vectors of other ids in the probed lists ``near`` reach, by the part of the sample that is kept: what a
+        neighbour must score."""
+        if len(self.kept) < k:
             return np.full(len(q), -np.inf)
-        products = q @ self.kept.T
-        best = np.partition(products, len(self.kept) - k - 1, axis=1)[:, len(self.kept) - k - 1]
+        probed = np.zeros((len(q), len(self.centroids)), bool)
+        np.put_along_axis(probed, near, True, 1)
+        products = np.where(probed[:, self.kept_lists] & (self.kept_ids[None, :] != ids[:, None]), q @ self.kept.T, -np.inf)
+        best = np.partition(products, len(self.kept) - k, axis=1)[:, len(self.kept) - k]
         return best - 1e-9 * (1 + np.abs(best))
 
     def _needed(self, sample: np.ndarray, rng: np.random.Generator, k: int) -> int:
@@ -151,6 +155,23 @@ def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def scan_all(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
+    """As ``scan``, without bounds and without abandoning: the ``k`` nearest by products of matrices, then scored like the others."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(queries), 128):
+        q, own = queries[lo : lo + 128], query_ids[lo : lo + 128]
+        products = np.where(ids[None, :] == own[:, None], -np.inf, q @ vectors.T)
+        best = np.partition(products, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)][:, None]
+        least = np.where(np.isinf(best), best, best - 1e-9 * (1 + np.abs(best)))
+        which, rows = np.nonzero((products >= least) & ~np.isinf(products))
+        scores = (vectors[rows] * q[which]).sum(1)
+        top = np.lexsort((ids[rows], -scores, which))
+        which, rows, scores = which[top], rows[top], scores[top]
+        kept = np.arange(len(which)) - np.searchsorted(which, which) < k
+        out.append((own[which[kept]], ids[rows[kept]], scores[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id ``every`` divides, its ``k`` nearest among all rows of other ids.
 
@@ -168,8 +189,8 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
     total = rows.count()
     if not total:
         return spark.createDataFrame([], out)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample + settings.held).select("v").toArrow()
-    index = Index(_matrix(some["v"].combine_chunks(), dim), total, settings, k)
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample + settings.held).select("id", "v").toArrow()
+    index = Index(_matrix(some["v"].combine_chunks(), dim), total, settings, k, some["id"].to_numpy())
     lists, probes = len(index.centroids), index.probes
 
     def assigned(batches):
@@ -182,7 +203,7 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
             x = _matrix(batch.column(1), dim) if batch.num_rows else np.empty((0, dim))
             for i in range(0, len(x), 256):
                 near = index.probed(x[i : i + 256], probes)
-                reach = pa.array(np.repeat(index.reached(x[i : i + 256], k), near.shape[1]))
+                reach = pa.array(np.repeat(index.reached(x[i : i + 256], batch.column(0).to_numpy()[i : i + 256], near, k), near.shape[1]))
                 rows = pa.array(np.repeat(np.arange(i, i + len(near)), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), reach], names=["list", "id", "v", "reach"])
 
@@ -191,23 +212,38 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = materialised(queries.mapInArrow(probing, f"{schema}, reach double"), "probes")
 
-    # as many rows as lists: how many blocks a list's vectors and its queries are cut into
-    cut = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))
-    parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.queries).cast("int").alias("parts"))
-    plan = small(materialised(cut.join(parts, "list"), "plan"), 24)
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = stored.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", numbers(F.col("parts")))
-    right = asked.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int")).withColumn("block", numbers(F.col("blocks")))
-    key = ["list", "block", "part"]
-
     def searched(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not queries.num_rows:
-            a, b, c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        else:
+        a, b, c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if vectors.num_rows and queries.num_rows:
             (x, ids), (q, query_ids) = ((_matrix(t["v"].combine_chunks(), dim), t["id"].to_numpy()) for t in (vectors, queries))
-            a, b, c = scan(x, ids, q, query_ids, queries["reach"].to_numpy(), index.rotation, k, settings)
+            bounds = queries["reach"].to_numpy()
+            free, found = np.isinf(bounds), []
+            if free.any():
+                found.append(scan_all(x, ids, q[free], query_ids[free], k))
+            if not free.all():
+                found.append(scan(x, ids, q[~free], query_ids[~free], bounds[~free], index.rotation, k, settings))
+            a, b, c = (np.concatenate(y) for y in zip(*found, strict=True))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    near = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "id", "v", "reach").groupBy(*key)).applyInArrow(searched, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    # as many rows as lists: how many blocks a list's vectors and its queries are cut into
+    cut = materialised(stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks")), "cut")
+
+    def best(asked: DataFrame) -> DataFrame:
+        parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.queries).cast("int").alias("parts"))
+        plan = small(materialised(cut.join(parts, "list"), "plan"), 24)
+        left = stored.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", numbers(F.col("parts")))
+        right = asked.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int")).withColumn("block", numbers(F.col("blocks")))
+        key = ["list", "block", "part"]
+        near = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "id", "v", "reach").groupBy(*key)).applyInArrow(searched, "query_id bigint, vec_id bigint, score double")
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = materialised(best(asked), "nearest")
+    full = first.groupBy("query_id").count().where(F.col("count") >= k)
+    short = materialised(queries.join(small(full, 16), F.col("id") == F.col("query_id"), "left_anti"), "short")
+    if not short.count():
+        return first
+    everywhere = short.join(F.broadcast(cut.select("list"))).select("list", "id", "v", F.lit(float("-inf")).alias("reach"))
+    again = best(materialised(everywhere, "everywhere"))
+    return first.join(small(short.select(F.col("id").alias("query_id")), 16), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(again)

@@ -60,6 +60,25 @@ def test_probes_reach_the_recall_on_vectors_that_were_not_fitted():
     assert np.mean([np.isin(near[b], p).mean() for b, p in zip(best, probed, strict=True)]) >= 0.975
 
 
+def test_every_query_gets_its_rows_where_few_lists_are_probed(spark, monkeypatch):
+    monkeypatch.setattr(ann.Index, "_needed", lambda *_: 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=12)) for i in range(1200)] + [(20, rng.normal(size=12)) for _ in range(60)] + [(5000, rng.normal(size=12) * 50)]
+    found = search(spark, rows)
+    assert len(found) == 61 and all(len(v) == 20 for v in found.values())
+
+
+def test_bounds_come_from_probed_lists_and_other_ids():
+    rng = np.random.default_rng(4)
+    x, ids = rng.normal(size=(900, 8)), np.r_[np.zeros(300, int), np.arange(1, 601)]
+    index = ann.Index(x, 900, ann.Settings(), 20, ids)
+    q = x[:50]
+    near = index.probed(q, 8)
+    lists = index.nearest(x)
+    for query, lists_of, bound in zip(q, near, index.reached(q, ids[:50], near, 20), strict=True):
+        assert np.isinf(bound) or (x[np.isin(lists, lists_of) & (ids != 0)] @ query >= bound).sum() >= 20
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(i, [0.5, 0.1, 0.0]) for i in range(100, 140)]
     found = search(spark, rows, block=16)

@@ -319,6 +319,34 @@ def maxsim(spark, sf_dir):
     return scorers.LateInteractionScorer().score(docs.join(F.broadcast(q))).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
+def all_to_meet(q):
+    """``q`` with a broadcast hint up to 100,000 rows; beyond that a cross join goes by blocks of partitions."""
+    return F.broadcast(q) if q.count() <= 100_000 else q
+
+
+@query("""with v as (select vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings),
+s as (select q.vec_id as qid, d.vec_id as doc_id, round(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end, 9) as score from v q, v d where q.vec_id % 20 = 0)
+select qid, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from s) where rank <= 10""")
+def cosine_topk_whole(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", C.norm(F.col("embedding")).alias("n"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("n").alias("qn"))
+    met = v.crossJoin(all_to_meet(q)).withColumn("score", F.round(C.cosine_of(F.col("q"), F.col("embedding"), F.col("qn"), F.col("n")), 9)).withColumn("idx", F.col("vec_id"))
+    return rank.top_k(met, 10).select("qid", F.col("vec_id").alias("doc_id"), "score", "rank")
+
+
+@query("""with v as (select vec_id // 8 as owner, vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings),
+best as (
+  select q.owner as qid, d.owner as doc_id, q.vec_id, max(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end) as c
+  from v q, v d where q.owner % 20 = 0 group by q.owner, d.owner, q.vec_id
+)
+select qid, doc_id, round(1 / (1 + exp(-sum(c))), 9) as score from best group by qid, doc_id""")
+def maxsim_whole(spark, sf_dir):
+    tokens = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 8").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
+    docs = tokens.select(F.col("owner").alias("doc_id"), F.col("t.embedding").alias("doc_vectors"))
+    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("doc_vectors").alias("query_vectors"))
+    return scorers.LateInteractionScorer().score(docs.crossJoin(all_to_meet(q))).select("qid", "doc_id", F.round("score", 9).alias("score"))
+
+
 # --- evaluation ---
 
 

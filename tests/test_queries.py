@@ -21,6 +21,13 @@ def test_against_sql(spark, name):
     same_rows(queries.QUERIES[name](spark, SF).toPandas(), duck().execute(queries.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize(("name", "unit"), [("cosine_topk_whole", 1), ("maxsim_whole", 8)])
+def test_vector_searches_ask_with_every_twentieth(spark, name, unit):
+    asked = {r["qid"] for r in queries.QUERIES[name](spark, SF).select("qid").distinct().collect()}
+    owners = {r["vec_id"] // unit for r in queries.table(spark, SF, "embeddings").collect()}
+    assert asked == {i for i in owners if i % 20 == 0} and len(asked) > 1
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     plan = queries.rerank_topk(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

@@ -264,6 +264,38 @@ select source, lang, version, count(*) as docs, cast(sum(tokens) as bigint) as t
 """
 
 
+def op10_tokenizer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all ``documents`` in words, bytes and ids of a byte-pair vocabulary. Each row is an insert of its own, numbered when its
+    counts are written. Bytes are characters until they are revised; documents of fewer than three words are deleted and inserted
+    again; the first batch comes twice."""
+    text = text_of("text")
+    counts = {
+        "words": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
+        "chars": F.length(text).cast("long"),
+        "bytes": F.octet_length(text).cast("long"),
+    }
+    about = F.struct(F.monotonically_increasing_id().alias("id"), "source", "lang", *(c.alias(n) for n, c in counts.items())).alias("about")
+    rows = byte_bpe.encoded(read(spark, sf_dir, "documents").select(about, "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), "about")
+    docs = materialised(rows.select("about.*", F.size("ids").cast("long").alias("ids")), "counts")
+
+    def events(rows: DataFrame, size: str = "bytes") -> DataFrame:
+        made = [token_rollup.inserted(rows, F.concat_ws("/", "id", F.lit(v)), v, F.col(c)) for v, c in (("words-1", "words"), ("bytes-1", size), ("byte_bpe_50k", "ids"))]
+        return made[0].unionByName(made[1]).unionByName(made[2])
+
+    revised = docs.where("chars <> bytes").select(F.concat_ws("/", "id", F.lit("bytes-1")).alias("event_id"), F.lit("revise").alias("kind"), "source", "lang", F.lit("bytes-1").alias("version"), F.col("bytes").alias("tokens"), F.col("chars").alias("prior"))
+    short = docs.where("words < 3")
+
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rankloom/rollup-{uuid.uuid4().hex}")
+    inserts = events(docs, "chars")
+    rollup.commit("inserts", inserts)
+    rollup.commit("revisions", revised)
+    rollup.commit("inserts", inserts.unionByName(inserts))
+    rollup.commit("deletes", events(short).withColumn("kind", F.lit("delete")))
+    rollup.commit("returns", events(short))
+    rollup.compact()
+    return rollup.totals()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_formatting,
@@ -276,6 +308,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_toxicity,
         op10_token_counts,
+        op10_tokenizer_totals,
     )
     return {f.__name__: f for f in found}
 

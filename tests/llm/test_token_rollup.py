@@ -1,8 +1,11 @@
+import re
+
 import public_tokenizers
 import pytest
+from llm_support import awkward
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe
+from rankloom.llm import byte_bpe, queries
 from rankloom.llm import token_rollup as R
 
 EVENT = "event_id string, kind string, source string, lang string, version string, tokens bigint, prior bigint"
@@ -69,3 +72,18 @@ def test_counts_of_a_byte_pair_vocabulary(spark, tmp_path):
     codec = byte_bpe.codec(path)
     n = [len(x) for x in codec.encode(["hello world", "tokens"])]
     assert totals(rollup) == {("a", "en", "byte_bpe_50k"): (2, sum(n)), ("b", "de", "byte_bpe_50k"): (1, 0)}
+
+
+def test_registered_totals_hold_every_row_and_its_ids(spark, tmp_path):
+    docs = awkward(spark).unionByName(awkward(spark).where("doc_id is null"))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    codec, want = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken")), {}
+    for r in docs.collect():
+        text = r["text"] or ""
+        ids = next(iter(codec.encode([text])))
+        assert codec.decode(ids) == text.encode()
+        for version, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", text))), ("bytes-1", len(text.encode())), ("byte_bpe_50k", len(ids))):
+            key = (r["source"], r["lang"], version)
+            want[key] = tuple(map(sum, zip(want.get(key, (0, 0)), (1, n), strict=True)))
+    got = queries.queries()["op10_tokenizer_totals"](spark, f"file://{tmp_path}")
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == want

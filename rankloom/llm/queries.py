@@ -227,7 +227,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised to bytes; documents of fewer than three words are deleted. The first batch comes twice, once with repeated events."""
     text = text_of("text")
     docs = read(spark, sf_dir, "documents").select(
-        F.concat_ws("/", "doc_id", F.xxhash64(text)).alias("id"),
+        F.to_json(F.struct("doc_id", "source", "lang", F.xxhash64(text).alias("text"))).alias("id"),
         "source",
         "lang",
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),

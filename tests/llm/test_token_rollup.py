@@ -1,9 +1,11 @@
 import re
 
+import duckdb
 import public_tokenizers
 import pytest
-from llm_support import awkward
+from llm_support import DOCUMENT, awkward
 from pyspark.sql import functions as F
+from support import same_rows
 
 from rankloom.llm import byte_bpe, queries
 from rankloom.llm import token_rollup as R
@@ -87,3 +89,13 @@ def test_registered_totals_hold_every_row_and_its_ids(spark, tmp_path):
             want[key] = tuple(map(sum, zip(want.get(key, (0, 0)), (1, n), strict=True)))
     got = queries.queries()["op10_tokenizer_totals"](spark, f"file://{tmp_path}")
     assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == want
+
+
+def test_ids_that_are_null_or_repeated_across_sources(spark, tmp_path):
+    text = "four words of text"
+    rows = [(None, text, "en", "a", 18), (None, text, "en", "b", 18), (None, text, None, "b", 18), (1, text, "en", "a", 18), (1, text, "de", "a", 18), (1, text, "en", None, 18)]
+    spark.createDataFrame(rows, DOCUMENT).coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op10_token_counts(spark, f"file://{tmp_path}").toPandas()
+    base = duckdb.connect()
+    base.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(got, base.execute(queries.OP10_SQL).df())

@@ -1,10 +1,11 @@
-"""Jaccard self-join on word n-grams by a MinHash LSH forest with exact verification.
+"""Jaccard self-join on word n-grams by banded MinHash with exact verification.
 
 1. Each text becomes its set of hashed shingles and a signature. Texts of one set are one *class of copies* from there on: a
    group of copies of any size is one row.
-2. A tree orders signatures by a few of their values; two texts meet in a tree if they share a prefix. The prefix starts at
-   the deepest and is shortened until the forest reaches the target recall at the threshold. Shared prefixes of several trees
-   that hold the same texts are looked at once.
+2. Banded MinHash takes the place of an LSH forest: a tree is a band of a few values of the signature, and two texts meet in it
+   if they share all of these. How many is a formula of the settings: the most, up to ``deepest``, at which the target recall is
+   reached at the threshold. The threshold is fixed, so no tries are kept and no longer prefixes matched. Bands that hold the
+   same texts are looked at once.
 3. Within a shared prefix, signatures are compared, in blocks; what cannot reach the threshold is dropped. What is left makes
    candidate groups.
 4. Within a candidate group, shingle sets are intersected exactly, block by block. A task returns for each of its texts the
@@ -30,8 +31,8 @@ from rankloom.llm.components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """``width`` words of a shingle. ``threshold``: links have at least this similarity. A forest of ``trees`` whose prefixes have at
-    most ``deepest`` values, and the recall it must reach at the threshold. ``sigmas``: how far, in standard deviations, an
+    """``width`` words of a shingle. ``threshold``: links have at least this similarity. ``trees`` bands of at most ``deepest`` values, and
+    the recall they must reach at the threshold. ``sigmas``: how far, in standard deviations, an
     estimate may lie under the threshold. ``block``, ``exact_block``: texts of a block of signatures and of shingle sets."""
 
     width: int = 5

@@ -1,20 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary windows, and one that holds the same and, nearest to
-what it compresses, words of toxic documents whose letter sequences ordinary documents do not have. A window that the second
-compresses into fewer bytes sounds toxic. A document's score comes from the distribution of these differences over all its
-windows, of two sizes, by a logistic curve. Its weights come from labelled rows that, fold by fold, the dictionaries have not seen.
+Two zstandard dictionaries are trained, on windows of toxic and of ordinary text. A window is compressed once with the ordinary one
+and once with the toxic one put after it; the bytes that this saves are what its toxic content explains beyond ordinary text. A
+document's score comes from the savings of all its windows, by a logistic curve whose weights come from labelled texts that the
+dictionaries in question have not seen.
 
-Fitting takes a bounded sample of labelled rows to the driver (``Sample``). Scoring is a map over whole texts.
+Most windows of a toxic document are ordinary, so the toxic dictionary is trained in rounds: on all windows of toxic texts; then on
+the half that dictionaries of the *other* texts save most on, and so on; at last on the words whose removal from a window takes its saving
+away. Words of ordinary windows that the toxic dictionary saves bytes on train a second part of the ordinary dictionary.
+
+Fitting takes a bounded sample of labelled rows and of their windows to the driver (``Sample``); texts stay on the executors. Scoring
+is a map over whole texts.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,126 +26,162 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_SPACE, small_batches
+from rankloom.llm.common import NOT_SPACE, materialised, small_batches
 
 RUN = re.compile(NOT_SPACE + "+")
 EDGES = ".,;:!?\"()"
-#: Words of a window, for each size.
-SIZES = (8, 32)
-LEVEL = 3
-ORDINARY_BYTES = 16384
-TOXIC_BYTES = 12000
+#: Words of a window.
+WINDOW = 6
+#: Bytes of the ordinary dictionary, of its second part, and of the toxic one while rounds go on and in the end.
+ORDINARY, CONFUSED, ROUNDS, TOXIC = 65536, 8192, 4096, 3000
+#: Segment lengths of training on windows and on words.
+LONG, SHORT = 48, 24
+#: Savings that windows are counted by.
+STEPS = (1, 2, 3, 4, 5, 6)
+MOST = (2, 3, 4, 5, 6, 8)
+N_FEATURES = 4 + len(STEPS) + len(MOST) + 1
+
+#: Fixed value: the repeat offsets 1, 4 and 8, which end the header of a trained dictionary.
+HEADER_END = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 
 
 @dataclass(frozen=True)
 class Sample:
-    """The bound of what fitting takes: so many toxic and ordinary rows, in the order of a hash of their ids; texts of more
-    characters than ``chars`` are not taken."""
+    """The bounds of what fitting takes: ``toxic`` and ``ordinary`` rows, drawn by a hash of their ids; ``pieces`` windows, drawn
+    from all of a text, of each toxic text and ``plain`` of each ordinary one."""
 
     toxic: int = 1500
     ordinary: int = 4500
-    chars: int = 20_000
+    pieces: int = 24
+    plain: int = 16
 
 
 def words_of(text: str) -> list[str]:
-    return [w.strip(EDGES) for w in RUN.findall(text.lower())]
-
+    return [w for w in (x.strip(EDGES) for x in RUN.findall(text.lower())) if w]
 
-def windows(words: list[str], size: int) -> list[bytes]:
-    """Runs of ``size`` words with a blank at both ends; one empty window for no words."""
-    return [f" {' '.join(words[i : i + size])} ".encode("utf-8", "replace") for i in range(0, len(words), size)] or [b""]
 
+def encoded(words: Sequence[str]) -> bytes:
+    return f" {' '.join(words)} ".encode("utf-8", "replace")
 
-def _sequences(word: str, n: int = 4) -> set[str]:
-    word = f" {word} "
-    return {word[i : i + n] for i in range(len(word) - n + 1)}
 
+def windows(words: list[str]) -> list[list[str]]:
+    """Runs of ``WINDOW`` words; one empty run for no words."""
+    return [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)] or [[]]
 
-def toxic_words(texts: list[str], toxic: list[bool]) -> list[str]:
-    """Words of toxic texts (words joined by blanks) with a letter sequence that is frequent among toxic and all but absent among
-    ordinary texts; the most frequent last, where matches cost least."""
-    ours, others, docs = Counter(), Counter(), Counter()
-    n, m = sum(toxic), len(toxic) - sum(toxic)
-    for text, y in zip(texts, toxic, strict=True):
-        found = set(text.split(" "))
-        sequences = set().union(*map(_sequences, found)) if found else set()
-        if y:
-            ours.update(sequences)
-            docs.update(found)
-        else:
-            others.update(sequences)
-    least = max(3, n // 50)
-    telling = {s for s, c in ours.items() if c >= least and c / n > 20 * (others[s] + 0.5) / max(1, m)}
-    kept = [w for w, c in docs.items() if c >= min(5, least) and not telling.isdisjoint(_sequences(w))]
-    return sorted(kept, key=lambda w: (docs[w], w))
 
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train on."""
+def trained(samples: list[bytes], size: int, segment: int) -> tuple[bytes, bytes]:
+    """Header and content of a dictionary trained on ``samples``; no header and the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
+        made = zstandard.train_dictionary(size, samples, k=segment, d=6, level=3).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"", b"".join(samples)[-size:]
+    at = made.index(HEADER_END) + len(HEADER_END)
+    return made[:at], made[at:]
+
+
+def compressor(header: bytes, content: bytes) -> Callable[[bytes], bytes]:
+    """Compresses with a dictionary, by the parser that looks for the shortest result, matches of three bytes included."""
+    options = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_BTOPT, min_match=3, search_log=5, window_log=17, chain_log=17, hash_log=17, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
+    )
+    if len(content) < 8:
+        return zstandard.ZstdCompressor(compression_params=options).compress
+    kind = zstandard.DICT_TYPE_FULLDICT if header else zstandard.DICT_TYPE_RAWCONTENT
+    held = zstandard.ZstdCompressionDict(header + content, dict_type=kind)
+    held.precompute_compress(compression_params=options)
+    return zstandard.ZstdCompressor(compression_params=options, dict_data=held).compress
 
-class Distance:
-    """Bytes saved by the toxic dictionary, by window."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = self._compressor(ordinary), self._compressor(ordinary + toxic)
+@dataclass(frozen=True)
+class Dictionaries:
+    """The trained header, the ordinary content, and the toxic content that is put after it."""
 
-    @staticmethod
-    def _compressor(content: bytes):
-        options = {"level": LEVEL, "write_content_size": False, "write_dict_id": False}
-        if len(content) < 8:
-            return zstandard.ZstdCompressor(**options)
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(dict_data=held, **options)
+    header: bytes
+    ordinary: bytes
+    toxic: bytes
 
-    def features(self, words: list[str]) -> list[float]:
-        out = []
-        a, b = self.ordinary.compress, self.toxic.compress
-        for size in SIZES:
-            saved = np.array([len(a(w)) - len(b(w)) for w in windows(words, size)])
-            top = np.sort(saved)[::-1]
-            out += [top[0], saved.mean(), top[:3].mean(), *((saved >= x).mean() for x in (2, 3, 4, 6)), *(np.log1p((saved >= x).sum()) for x in (3, 5, 8)), np.log(len(saved))]
-        return out
+    def saving(self) -> Callable[[Sequence[str]], int]:
+        """Bytes that the toxic content saves on a run of words."""
+        plain, toxic = compressor(self.header, self.ordinary), compressor(self.header, self.ordinary + self.toxic)
+
+        def saved(words: Sequence[str]) -> int:
+            data = encoded(words)
+            return len(plain(data)) - len(toxic(data))
+
+        return saved
+
+
+def features(saved: Callable[[Sequence[str]], int], text: str) -> list[float]:
+    """The distribution of savings over a text's windows."""
+    m = np.array([saved(w) for w in windows(words_of(text))], float)
+    top = np.sort(m)[::-1]
+    return [top[0], m.mean(), top[:3].mean(), top[:6].mean(), *((m >= x).mean() for x in STEPS), *(np.log1p((m >= x).sum()) for x in MOST), np.log(len(m))]
+
+
+def telling_words(pieces: list[list[str]], saved: Callable[[Sequence[str]], int], least: int = 2) -> list[bytes]:
+    """Of each piece that saves ``least`` bytes, the word without which it saves the least, if that takes ``least`` bytes away."""
+    out = []
+    for words in pieces:
+        whole = saved(words)
+        if whole < least:
+            continue
+        without = [saved(words[:j] + words[j + 1 :]) for j in range(len(words))] if len(words) > 1 else [0] * len(words)
+        if without and whole - min(without) >= least:
+            out.append(encoded([words[int(np.argmin(without))]]))
+    return out
+
+
+def learned(toxic: list[list[list[str]]], ordinary: list[list[list[str]]], rounds: int = 4, passes: int = 3) -> Dictionaries:
+    """Dictionaries from the pieces (runs of words) of toxic and of ordinary texts.
+
+    Toxic texts are halved: what is kept of either half is decided by a dictionary of the other, so that no piece speaks for itself.
+    """
+    plain = [p for text in ordinary for p in text]
+    halves = [[p for i, text in enumerate(toxic) if i % 2 == h for p in text] for h in (0, 1)]
+    header, base = trained([encoded(p) for p in plain], ORDINARY, LONG)
+    kept, confused, known = [list(x) for x in halves], [], base
+    for _ in range(rounds):
+        found = [Dictionaries(header, known, trained([encoded(p) for p in kept[1 - h]], ROUNDS, LONG)[1]).saving() for h in (0, 1)]
+        for h in (0, 1):
+            saved = np.array([found[h](p) for p in kept[h]])
+            best = np.argsort(-saved, kind="stable")[: max(1, len(saved) // 2)]
+            kept[h] = [kept[h][i] for i in sorted(best)]
+    contents = [trained([encoded(p) for p in kept[h]], ROUNDS, LONG)[1] for h in (0, 1)]
+    told: list[list[bytes]] = [[], []]
+    for _ in range(passes):
+        found = [Dictionaries(header, known, contents[1 - h]).saving() for h in (0, 1)]
+        told = [telling_words(halves[h], found[h]) or told[h] for h in (0, 1)]
+        confused += [w for s in found for w in telling_words(plain[:: len(found)], s)]
+        if confused:
+            known = base + trained(confused, CONFUSED, SHORT)[1]
+        contents = [trained(told[h], TOXIC, SHORT)[1] if told[h] else contents[h] for h in (0, 1)]
+    final = trained([*told[0], *told[1]], TOXIC, SHORT)[1] if told[0] or told[1] else b"".join(contents)
+    # what the final dictionary saves on ordinary pieces is ordinary as well
+    confused += telling_words(plain, Dictionaries(header, known, final).saving())
+    return Dictionaries(header, base + trained(confused, CONFUSED, SHORT)[1] if confused else base, final)
 
 
 @dataclass(frozen=True)
 class Model:
     """What scoring needs; some tens of kilobytes."""
 
-    ordinary: bytes
-    toxic: bytes
+    dictionaries: Dictionaries
     centre: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
 
-    def scorer(self):
-        distance = Distance(self.ordinary, self.toxic)
+    def scorer(self) -> Callable[[list[str]], np.ndarray]:
+        saved = self.dictionaries.saving()
         centre, scale, weights = (np.array(x) for x in (self.centre, self.scale, self.weights))
 
         def score(texts: list[str]) -> np.ndarray:
-            z = (np.array([distance.features(words_of(t)) for t in texts]) - centre) / scale
+            z = (np.array([features(saved, t) for t in texts]) - centre) / scale
             return 1 / (1 + np.exp(-np.clip(z @ weights[:-1] + weights[-1], -500, 500)))
 
         return score
 
 
-def _contents(texts: list[str], toxic: list[bool]) -> tuple[bytes, bytes]:
-    """What the two dictionaries are made of: an ordinary part, and the words that the toxic one has more."""
-    plain = [t for t, y in zip(texts, toxic, strict=True) if not y]
-    # every so-manieth piece of 60 characters, as many as training needs
-    step = max(1, sum(len(t) // 60 + 1 for t in plain) // 60_000)
-    places = ((t, i) for t in plain for i in range(0, len(t), 60))
-    pieces = [f" {t} "[i : i + 60].encode("utf-8", "replace") for t, i in islice(places, 0, None, step)]
-    telling = (" " + " ".join(toxic_words(texts, toxic)) + " ").encode("utf-8", "replace")
-    return _dictionary(pieces, ORDINARY_BYTES), telling[-TOXIC_BYTES:]
-
-
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression by Newton's method with a small ridge: centre and scale of the features, weights with the offset last."""
     centre, scale = x.mean(0), x.std(0) + 1e-3
     z = np.c_[(x - centre) / scale, np.ones(len(x))]
@@ -155,38 +195,64 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return centre, scale, w
 
 
-def fit(texts: list[str], labels: list[int], folds: int = 3) -> Model:
-    """Dictionaries from all rows; the curve from features that each row gets of dictionaries made without it. Without rows of both
-    labels in every fold's rest, the score is the share of toxic rows."""
-    toxic = [bool(y) for y in labels]
-    n = len(SIZES) * 11
-    fold = [i % folds for i in range(len(texts))]
-    both = all({toxic[i] for i in range(len(texts)) if fold[i] != f} == {True, False} for f in range(folds))
-    if not both:
-        share = min(max(float(np.mean(toxic)) if toxic else 0.0, 1e-6), 1 - 1e-6)
-        return Model(b"", b"", (0.0,) * n, (1.0,) * n, (*(0.0,) * n, float(np.log(share / (1 - share)))))
-    texts = [" ".join(words_of(t)) for t in texts]
-    x = np.zeros((len(texts), n))
-    for f in range(folds):
-        rest = [i for i in range(len(texts)) if fold[i] != f]
-        distance = Distance(*_contents([texts[i] for i in rest], [toxic[i] for i in rest]))
-        for i in range(len(texts)):
-            if fold[i] == f:
-                x[i] = distance.features(texts[i].split(" ") if texts[i] else [])
-    return Model(*_contents(texts, toxic), *map(tuple, _curve(x, np.array(toxic, float))))
+def constant(share: float) -> Model:
+    """Scores everything by the share of toxic rows."""
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return Model(Dictionaries(b"", b"", b""), (0.0,) * N_FEATURES, (1.0,) * N_FEATURES, (*(0.0,) * N_FEATURES, float(np.log(share / (1 - share)))))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
-    """A model from rows of ``labels`` (``doc_id, toxic``) and their texts; null labels, ids and texts are left out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    texts = docs.where(F.length("text") <= sample.chars).select("doc_id", "text")
-    rows = []
+def pieces_of(text: str, most: int) -> list[list[str]]:
+    """At most ``most`` windows of the text, drawn from all of it, by a hash of their place and words."""
+    found = windows(words_of(text))
+    drawn = sorted(range(len(found)), key=lambda i: zlib.crc32(b"%d %b" % (i, encoded(found[i]))))[:most]
+    return [found[i] for i in sorted(drawn) if found[i]]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: Sample) -> DataFrame:
+    """``id, toxic, fold, text``: the sample's rows, one for each id. Null labels, ids and texts are left out; of an id's
+    labels the larger counts, and of its texts the first."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), "toxic")
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    drawn = None
     for y, most in ((1, sample.toxic), (0, sample.ordinary)):
-        # a third more ids than rows, as some may have no text or too long a one; the count bounds the broadcast
-        some = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most + most // 3)
-        rows += texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+        share = int((1 << 30) * min(1.0, 1.2 * most / max(1, sizes.get(y, 0))))
+        some = known.where((F.col("toxic") == y) & (place < share)).distinct().limit(most)
+        drawn = some if drawn is None else drawn.unionByName(some)
+    drawn = materialised(drawn.groupBy("id").agg(F.max("toxic").alias("toxic")), "drawn")
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), "text")
+    met = texts.join(F.broadcast(drawn), F.col("_id") == F.col("id"))  # at most as many ids as the sample's bounds
+    once = met.groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    return materialised(once.select("id", "toxic", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(2)).cast("int").alias("fold"), "text"), "sample")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
+    """A model from rows of ``labels`` (``doc_id, toxic``) and their texts. Where one of the two halves lacks a label, and so
+    for empty tables, the score is the share of toxic rows."""
+    rows = sampled(docs, labels, sample)
+
+    def cut(batches):
+        for batch in batches:
+            found = [pieces_of(t, sample.pieces if y else sample.plain) for t, y in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["id", "toxic", "fold", "pieces"])
+
+    held = small_batches(rows).select(F.col("id").cast("string"), F.col("toxic").cast("int"), "fold", "text").mapInArrow(cut, "id string, toxic int, fold int, pieces array<array<string>>").collect()
+    held.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"]))
+    if any({r["toxic"] for r in held if r["fold"] == f} != {0, 1} for f in (0, 1)):
+        return constant(float(np.mean([r["toxic"] for r in held])) if held else 0.0)
+    by = lambda f, y: [r["pieces"] for r in held if r["fold"] != f and r["toxic"] == y]
+    made = [learned(by(f, 1), by(f, 0)) for f in (0, 1)]
+
+    def measured(batches):
+        saved = [d.saving() for d in made]
+        for batch in batches:
+            x = [features(saved[f], t) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    told = small_batches(rows).select(F.col("toxic").cast("int"), "fold", "text").mapInArrow(measured, "toxic int, x array<double>").collect()
+    told.sort(key=lambda r: (r["toxic"], r["x"]))
+    shape = curve(np.array([r["x"] for r in told]), np.array([r["toxic"] for r in told], float))
+    return Model(learned(by(2, 1), by(2, 0)), *(tuple(map(float, x)) for x in shape))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,18 +271,25 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def held_out(id_col: str = "doc_id"):
-    """True for rows that fitting never sees: crc32 of the id as text leaves 1 when divided by 3."""
+    """True for rows that fitting never sees: crc32 of the id as text leaves 1 when divided by 3. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
 def judged(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), threshold: float = 0.7) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``; learned from labels of rows not held out."""
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``; learned from labels of rows not held out.
+
+    Null texts are scored as empty ones, rows without an id like others, repeated rows alike; an empty table gives no rows; columns
+    other than ``doc_id`` and ``text`` are not looked at.
+    """
     model = fitted(docs, labels.where(~held_out()), sample)
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores under the threshold."""
+    """The rows of ``docs``, all columns, whose text scores under the threshold.
+
+    Null texts are scored as empty ones and stay null; repeated rows share a fate; an empty table gives no rows.
+    """
     model = fitted(docs, labels.where(~held_out()), sample)
     names = docs.columns
     at = names.index("text")

@@ -3,8 +3,9 @@
 Texts of a batch lie behind one another in one array of code points. A table gives each code point its class; a state
 machine over classes says where a token of the split pattern begins. Each class is a function from state to state; these
 functions form a finite monoid, so the states come from an associative scan over the array by doubling, which ends as
-soon as every composed function is constant. No regular expression runs. The slices between boundaries go through a
-bounded cache of merges. Every token's byte offset is kept, so that any span of ids decodes by itself.
+soon as every composed function is constant. No regular expression runs over texts. The slices between boundaries go through
+pair merging behind a bounded cache. Every token's byte offset is kept: decoding puts each token's bytes at its offset, so that any
+span of ids decodes by itself.
 
 All work is a map over rows, in chunks of bounded size.
 """
@@ -13,9 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -27,9 +28,6 @@ from rankloom.llm.common import small_batches
 
 # Classes of code points.
 OTHER, LETTER, NUMBER, WHITE, BLANK, QUOTE, BREAK = range(7)
-#: The code points with the property White_Space, but for the blank.
-WHITE_SPACE = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
 # Symbols: classes after a look at what follows. A quote may begin a contraction of one or two letters. White space may
 # go on, or be the last before something solid: a blank then joins that, other white space stands alone.
 S_LETTER, S_NUMBER, S_OTHER, S_QUOTE1, S_QUOTE2, S_WHITE, S_JOIN, S_ALONE, S_BREAK = range(9)
@@ -61,13 +59,19 @@ def _step(state: int, symbol: int) -> tuple[int, bool]:
     return {S_JOIN: JOINED, S_ALONE: IN_WHITE, S_BREAK: FRESH}[symbol], True
 
 
+def code_points(pattern: str) -> np.ndarray:
+    """The code points that match ``pattern``, as the library's own pattern engine has it: asked once for all of them, with bytes as tokens."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    asked = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return np.frombuffer(bytes(asked.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)
+
+
 @lru_cache(maxsize=1)
 def _machine() -> tuple[np.ndarray, ...]:
     """Code point classes; symbols by class and next class; the monoid: its composition table, constants, and generators; where tokens begin."""
     classes = np.zeros(0x110000, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    classes[:] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)]
-    classes[WHITE_SPACE] = WHITE
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
+        classes[code_points(pattern)] = kind
     classes[ord(" ")], classes[ord("'")] = BLANK, QUOTE
 
     pair = np.zeros((8, 8), np.uint8)
@@ -121,14 +125,44 @@ def boundaries(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def merged(data: bytes, ranks: Mapping[bytes, int]) -> list[int]:
+    """The ids of one slice: of all neighbours that a rank joins, those of the lowest rank are joined first, the left of equals.
+
+    Parts are linked by their ends; a heap holds the joints that may come next, and those that are out of date are passed over.
+    """
+    whole = ranks.get(data)
+    if whole is not None:
+        return [whole]
+    n = len(data)
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
+    joints = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+    heapify(joints)
+    while joints:
+        _, i, to = heappop(joints)
+        if not alive[i] or (j := end[i]) >= n or end[j] != to:
+            continue
+        alive[j], end[i] = 0, to
+        if to < n:
+            before[to] = i
+            if (r := ranks.get(data[i : end[to]])) is not None:
+                heappush(joints, (r, i, end[to]))
+        if (p := before[i]) >= 0 and (r := ranks.get(data[p:to])) is not None:
+            heappush(joints, (r, p, to))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[data[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class _Merges(dict):
     """Ids of slices; bounded."""
 
-    def __init__(self, merge):
-        self.merge = merge
+    def __init__(self, ranks: Mapping[bytes, int]):
+        self.ranks = ranks
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.merge(piece.encode("utf-8"))
+        ids = merged(piece.encode("utf-8"), self.ranks)
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE:
                 self.clear()
@@ -136,38 +170,51 @@ class _Merges(dict):
         return ids
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def slices(texts: list[str]) -> Iterator[Iterator[str]]:
+    """What the split pattern cuts each text into."""
+    joined = "\0" + "\0".join(texts) + "\0"
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    breaks = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts = boundaries(codes, breaks)
+    first = np.searchsorted(starts, breaks)
+    for i in range(len(texts)):
+        cuts = starts[first[i] + 1 : first[i + 1] + 1].tolist()
+        yield map(joined.__getitem__, map(slice, cuts, cuts[1:]))
+
+
 class Codec:
     """Encodes and decodes with the ranks of one file."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        core = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.merges = _Merges(core.encode_single_piece)
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        ranks = read_ranks(path)
+        self.merges = _Merges(ranks)
+        bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            self.bytes_of[i] = token
-        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.digits = [str(i) for i in range(len(self.bytes_of))]
+            bytes_of[i] = token
+        self.lengths = np.array([len(b) for b in bytes_of], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.digits = [str(i) for i in range(len(bytes_of))]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text; for chunks of texts, see ``chunks``."""
-        joined = "\0" + "\0".join(texts) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        breaks = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        starts = boundaries(codes, breaks)
-        first = np.searchsorted(starts, breaks)
-        for i in range(len(texts)):
-            cuts = starts[first[i] + 1 : first[i + 1] + 1].tolist()
-            slices = map(joined.__getitem__, map(slice, cuts, cuts[1:]))
-            yield list(chain.from_iterable(map(self.merges.__getitem__, slices)))
+        for found in slices(texts):
+            yield list(chain.from_iterable(map(self.merges.__getitem__, found)))
 
     def offsets(self, ids: list[int]) -> np.ndarray:
         """At which byte of the text each token begins, and the number of bytes as the last entry."""
         return np.concatenate(([0], np.cumsum(self.lengths[np.asarray(ids, np.int64)])))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int], offsets: np.ndarray | None = None) -> bytes:
+        """The bytes of ``ids``, each token's at its offset; ``offsets`` are those of ``encode``'s ids, or of a span of them with its end."""
+        at = self.offsets(ids) if offsets is None else np.asarray(offsets) - offsets[0]
+        shift = self.places[np.asarray(ids, np.int64)] - at[:-1]
+        return self.bytes[np.arange(at[-1]) + np.repeat(shift, np.diff(at))].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -224,7 +271,8 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of what ``encoded`` and then ``decoded`` give, without shipping the ids: ``id, n_tokens, ids_sha256, decoded_sha256``.
+    """Digests of what ``encoded`` (ids and offsets) and then ``decoded`` give, in one map, so that no ids are shipped: ``id, n_tokens,
+    ids_sha256, decoded_sha256``.
 
     ``ids_sha256`` is of the decimal ids joined by one space, ``decoded_sha256`` of the decoded bytes; an empty or null text gives
     the digests of nothing.
@@ -239,8 +287,41 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 for ids in c.encode(texts):
                     n.append(len(ids))
                     names.append(hashlib.sha256(" ".join(map(c.digits.__getitem__, ids)).encode()).hexdigest())
-                    data.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                    data.append(hashlib.sha256(c.decode(ids, c.offsets(ids))).hexdigest())
                 columns = [pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(data, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def counted(docs: DataFrame, paths: Mapping[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and, for each name in ``paths``, how many ids its rank file gives the text. Texts are cut once for all files.
+
+    A null or empty text has none; repeated rows each get a row; an empty table gives none; other columns are not looked at.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        sizes = {name: _Sizes(codec(path).merges) for name, path in paths.items()}
+        for batch in batches:
+            for at, texts in chunks(batch.column(1)):
+                found = [list(s) for s in slices(texts)]
+                columns = [pa.array([sum(map(n.__getitem__, s)) for s in found], pa.int64()) for n in sizes.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=[id_col, *sizes])
+
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{name}` bigint" for name in paths))
+
+
+class _Sizes(dict):
+    """Numbers of ids of slices; bounded."""
+
+    def __init__(self, merges: _Merges):
+        self.merges = merges
+
+    def __missing__(self, piece: str) -> int:
+        n = len(merged(piece.encode("utf-8"), self.merges.ranks))
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = n
+        return n

@@ -35,8 +35,21 @@ def test_batches_as_the_library(texts):
 
 
 def test_every_code_point_has_its_class():
-    texts = [f"a{chr(c)}{chr(c)}1 {chr(c)} b" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 17 == 0)]
-    assert encode(texts) == LIBRARY.encode_ordinary_batch(texts)
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    for end in ("'s", "'ll go", "1 a"):
+        texts = ["\n".join(c + end for c in points[i : i + 5000]) for i in range(0, len(points), 5000)]
+        assert encode(texts) == LIBRARY.encode_ordinary_batch(texts)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=300) | st.text(min_size=1, max_size=80).map(lambda t: t.encode("utf-8", "replace")))
+def test_merging_as_the_library(data):
+    assert byte_bpe.merged(data, RANKS) == LIBRARY._encode_single_piece(data)
+
+
+def test_merging_of_a_very_long_slice():
+    text = "ab" * 50_000 + "x" * 50_000
+    assert byte_bpe.merged(text.encode(), RANKS) == LIBRARY.encode_ordinary(text)
 
 
 def test_offsets_decode_any_span():
@@ -46,7 +59,7 @@ def test_offsets_decode_any_span():
     assert at[-1] == len(text.encode())
     for i in range(len(ids)):
         for j in range(i, len(ids) + 1):
-            assert codec.decode(ids[i:j]) == text.encode()[at[i] : at[j]]
+            assert codec.decode(ids[i:j]) == codec.decode(ids[i:j], at[i : j + 1]) == text.encode()[at[i] : at[j]]
 
 
 def test_the_scan_composes_in_any_order():
@@ -69,3 +82,13 @@ def test_frames(spark):
     assert sorted(repr((r["doc_id"], bytes(r["data"]).decode())) for r in back) == sorted(repr((r["doc_id"], r["text"] or "")) for r in docs.collect())
     assert byte_bpe.round_trip(empty(spark), PATH).count() == 0
     assert all(r["offsets"] == byte_bpe.codec(PATH).offsets(r["ids"])[:-1].tolist() for r in encoded.collect())
+
+
+def test_counts_under_several_vocabularies(spark):
+    docs = awkward(spark)
+    paths = {"one": PATH, "many": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    libraries = {k: tiktoken.Encoding(k, pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(p), special_tokens={}) for k, p in paths.items()}
+    found = byte_bpe.counted(with_clashes(docs), paths).collect()
+    want = [(r["doc_id"], *(len(e.encode_ordinary(r["text"] or "")) for e in libraries.values())) for r in docs.collect()]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+    assert byte_bpe.counted(empty(spark), paths).count() == 0

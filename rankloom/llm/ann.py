@@ -232,7 +232,7 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
 
     def best(asked: DataFrame) -> DataFrame:
         parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.queries).cast("int").alias("parts"))
-        plan = small(materialised(cut.join(parts, "list"), "plan"), 24)
+        plan = small(materialised(cut.join(parts, "list"), "plan"))
         left = stored.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", numbers(F.col("parts")))
         right = asked.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int")).withColumn("block", numbers(F.col("blocks")))
         key = ["list", "block", "part"]
@@ -241,9 +241,9 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
 
     first = materialised(best(asked), "nearest")
     full = first.groupBy("query_id").count().where(F.col("count") >= k)
-    short = materialised(queries.join(small(full, 16), F.col("id") == F.col("query_id"), "left_anti"), "short")
+    short = materialised(queries.join(small(full), F.col("id") == F.col("query_id"), "left_anti"), "short")
     if not short.count():
         return first
     everywhere = short.join(F.broadcast(cut.select("list"))).select("list", "id", "v", F.lit(float("-inf")).alias("reach"))
     again = best(materialised(everywhere, "everywhere"))
-    return first.join(small(short.select(F.col("id").alias("query_id")), 16), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(again)
+    return first.join(small(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(again)

@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         there = there.unionByName(there.select(F.col("m").alias("n"), F.col("n").alias("m")))
     least = there.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low")).withColumnRenamed("n", "_n")
     least = materialised(least, "least")
-    met = there.join(small(least, 24), F.col("n") == F.col("_n"))
+    met = there.join(small(least), F.col("n") == F.col("_n"))
     if large:
         out = met.where(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("low").alias("v"))
     else:

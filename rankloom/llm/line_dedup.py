@@ -84,7 +84,7 @@ def later_copies(texts: DataFrame, least: int) -> DataFrame:
     lines = long.select("no", "doc", "t", F.posexplode("lines").alias("p", "line")).select("no", "doc", "t", "p", "line.a", "line.b")
     names = lines.groupBy("a", "b").agg(F.min(place("p")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # written first: the join then has no sum in its stage, and a line of very many texts is split like any skewed key
-    names = small(materialised(names, "names"), 48)
+    names = small(materialised(names, "names"))
     active = materialised(lines.join(names, ["a", "b"]).select("no", "doc", "t", "p", "name"), "suffixes")
 
     found, depth = [], 1
@@ -94,13 +94,13 @@ def later_copies(texts: DataFrame, least: int) -> DataFrame:
         met = here.join(begin, _at("x", F.col("i"))).join(end, _at("y", F.col("i") + F.col("m") - depth))
         met = materialised(met.select("no", "doc", "t", "i", "m", "x", "y"), "met")
         first = met.groupBy("x", "y", "m").agg(F.min(place("i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        first = small(materialised(first, "first"), 96)
+        first = small(materialised(first, "first"))
         found.append(met.join(first, ["x", "y", "m"]).where(F.col("first") < place("i")).select("no", "doc", "t", "i", "m"))
         if 2 * depth <= deepest:
             order = Window.partitionBy("no", "doc", "t").orderBy("p").rangeBetween(depth, depth)
             pairs = active.withColumn("next", F.max("name").over(order)).where(F.col("next").isNotNull())
             joint = pairs.groupBy("name", "next").agg(F.min(place("p")).alias("joint"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            joint = small(materialised(joint, "joint"), 96)
+            joint = small(materialised(joint, "joint"))
             active = materialised(pairs.join(joint, ["name", "next"]).select("no", "doc", "t", "p", F.col("joint").alias("name")), "suffixes")
         depth *= 2
     if not found:
@@ -146,7 +146,7 @@ def cut(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     marked = marked.where(F.col("ranges").isNotNull() | (long & (F.col("copies") > 1)))
     marked = materialised(marked.select("t", "u", "doc", (long & (F.col("copies") > 1)).alias("copied"), "ranges"), "marked")
 
-    met = kept.join(small(marked, 128), (ta == F.col("t")) & (tb == F.col("u")), "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    met = kept.join(small(marked), (ta == F.col("t")) & (tb == F.col("u")), "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     # of the rows that hold the first id of a copied text, one stays
     own = F.col("copied") & F.col("id").eqNullSafe(F.col("doc"))
     nth = F.row_number().over(Window.partitionBy("t", "u", "id").orderBy("id"))

@@ -297,7 +297,7 @@ def _candidates(copies: DataFrame, settings: Settings) -> DataFrame:
     met = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor("key").alias("x")).where("n > 1")
     # prefixes of several trees with the same texts: one is enough
     once = materialised(met.groupBy("n", "low", "high", "x").agg(F.min("prefix").alias("prefix")).select("prefix", "n"), "met")
-    members = rows.join(small(once, 24), "prefix").join(copies.select("key", "bytes"), "key")
+    members = rows.join(small(once), "prefix").join(copies.select("key", "bytes"), "key")
     dealt = in_blocks(members.select("prefix", "n", "key", "bytes"), "prefix", "n", settings.block)
     return components(dealt.select("prefix", "i", "j", "own", "key", "bytes").mapInArrow(_similar(settings), "u bigint, v bigint"))
 
@@ -309,7 +309,7 @@ def _shingled(docs: DataFrame, wanted: DataFrame, settings: Settings, id_col: st
     text = F.col("_text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name in rest)
     same = F.col("_doc").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("ta")) & (F.xxhash64(F.lit("second"), text) == F.col("tb"))
-    found = texts.join(small(wanted, 64), same).select(*rest, text.alias("text"))
+    found = texts.join(small(wanted), same).select(*rest, text.alias("text"))
 
     def run(batches):
         shingler = Shingler(settings.width)
@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = told.select("key", F.coalesce("root", "key").alias("root"), "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     names = told.groupBy("root").agg(F.min("first").alias("least"))
     told = materialised(told.join(names, "root").select(F.col("key").alias("_key"), F.col("root").alias("class_key"), F.col("least.id").alias("class_id"), "n_links"), "classes")
-    out = sketch.select("id", "ta", "tb", "key").join(small(told, 32), F.col("key") == F.col("_key"), "left")
+    out = sketch.select("id", "ta", "tb", "key").join(small(told), F.col("key") == F.col("_key"), "left")
     own = F.col("key").isNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -375,7 +375,7 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = spoken.groupBy(F.col("doc_id").alias("_id"), F.col("ta").alias("_ta"), F.col("tb").alias("_tb")).agg(F.count(F.lit(1)).alias("_rows"))
     rows = rows.withColumnsRenamed({c: f"r{c}" for c in rows.columns})
     kept = kept.join(rows, kept["_id"].eqNullSafe(rows["r_id"]) & (F.col("_ta") == F.col("r_ta")) & (F.col("_tb") == F.col("r_tb"))).select("_id", "_ta", "_tb", F.col("r_rows").alias("_rows"))
-    kept = small(materialised(kept, "kept"), 40)
+    kept = small(materialised(kept, "kept"))
     packed = docs.select(packed_row(docs, "text"), "doc_id", "text")
     text = text_of("text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_ta")) & (F.xxhash64(F.lit("second"), text) == F.col("_tb"))

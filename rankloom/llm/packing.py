@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by exact complements.
 
 Documents become pieces of at most the capacity. Only the histogram of piece lengths, which has as many rows as the
-capacity at most, reaches the driver. There each gap is filled exactly by one, two or three available lengths found in an
-index of length sums; what no combination fills exactly is filled best-fit. The resulting plan says, for each length, which
-of its pieces (by number) go to which sequence and place; its size depends on the capacity, not on the data. Pieces get
-numbers within their length in salted groups, so that no common length meets in one task.
+capacity at most, reaches the driver. There lengths and the sums of two and of three lengths are indexed by hash, and each gap
+is filled exactly by a single, a pair or a triple that the index has under it and of which pieces are left; what no combination
+fills exactly is filled best-fit. The resulting plan says, for each length, which of its pieces (by number) go to which sequence
+and place; its size depends on the capacity, not on the data. A piece is numbered within its length as it is made, by the task that
+makes it; sums over tasks put the tasks' numbers behind one another. Rows are not sorted or dealt out by length for it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,37 +28,43 @@ from rankloom.llm.common import materialised, small, small_batches
 #: The split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Rows of a group in which pieces are numbered, about.
-GROUP = 1000
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tiktoken.Encoding:
-    """A byte-level BPE from a tokenizer's JSON file, whose ids are in the order of its merges, or from a rank file."""
+    """A byte-level BPE from a tokenizer's JSON file, whose ids are in the order of its merges, or from a rank file.
+
+    A JSON file's added tokens are single ids wherever a text holds their names, as in the library that the file is for.
+    """
+    added: dict[str, int] = {}
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            data = json.load(f)
+        vocab, added = data["model"]["vocab"], {t["content"]: t["id"] for t in data["added_tokens"]}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in data["added_tokens"]) or data["normalizer"]:
+            raise ValueError(f"{path} needs more than a byte-level BPE with plain added tokens")
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token)}
-        ranks = {token: i for token, i in ranks.items() if not (token.startswith(b"<|") and token.endswith(b"|>"))}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in added}
     else:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """``id, piece, start, length, ids_crc32``: each text's ids and ``end_id``, cut into pieces of ``capacity`` of which only the
-    first may be shorter. Special tokens' names in a text are ordinary text; null is empty."""
+    """``id, piece, start, length, ids_crc32, task, nth``: each text's ids and ``end_id``, cut into pieces of ``capacity`` of which only the
+    first may be shorter; and the task that made the piece with its number among the task's pieces of that length, from 0. Null is empty.
+
+    The last two hold for one run of the tasks: write the rows before they are used.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(path)
+        enc, made, task = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            rows, pieces, starts, lengths, crcs = [], [], [], [], []
+            rows, pieces, starts, lengths, crcs, nth = [], [], [], [], [], []
             for i in range(batch.num_rows):
-                ids = np.append(enc.encode_to_numpy(batch.column(1)[i].as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(batch.column(1)[i].as_py() or "", allowed_special="all"), end_id).astype("<u4")
                 at, n = 0, len(ids)
                 to = n % capacity or capacity
                 piece = 0
@@ -66,55 +74,67 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_i
                     starts.append(at)
                     lengths.append(to - at)
                     crcs.append(zlib.crc32(ids[at:to].tobytes()))
+                    nth.append(made[to - at])
+                    made[to - at] += 1
                     at, to, piece = to, to + capacity, piece + 1
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32"])
+            columns += [pa.array(np.full(len(rows), task), pa.int32()), pa.array(nth, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint")
 
 
-class _Sums:
-    """Which available lengths add up to a gap. Availability only falls, so each search goes on where the last one ended."""
+class Complements:
+    """Which available lengths add up to a gap: single lengths, pairs and triples, by their sum.
+
+    The entries of a sum are listed when it is first asked for, the one with the largest length last. Availability only falls, so an
+    entry at the end that has too few pieces left goes for good.
+    """
 
     def __init__(self, left: np.ndarray):
         self.left = left
-        self.pair_at: dict[int, int] = {}
-        self.triple_at: dict[int, int] = {}
+        self.singles = {int(n) for n in np.flatnonzero(left)}
+        self.lengths = np.array(sorted(self.singles), np.int64)
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _pairs(self, gap: int) -> list[int]:
+        """The larger lengths of the pairs of a sum."""
+        if gap not in self.pairs:
+            larger = self.lengths[(2 * self.lengths >= gap) & (self.lengths < gap)].tolist()
+            self.pairs[gap] = [a for a in larger if gap - a in self.singles]
+        return self.pairs[gap]
+
+    def _triples(self, gap: int) -> list[int]:
+        """The largest lengths of the triples of a sum; the rest of each is a pair."""
+        if gap not in self.triples:
+            self.triples[gap] = self.lengths[(3 * self.lengths >= gap) & (self.lengths < gap - 1)].tolist()
+        return self.triples[gap]
+
+    def _there(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= n for x, n in Counter(lengths).items())
 
     def pair(self, gap: int) -> tuple[int, ...] | None:
-        a = self.pair_at.get(gap, min(gap - 1, len(self.left) - 1))
-        while 2 * a >= gap:
-            b = gap - a
-            if self.left[a] and self.left[b] and (a != b or self.left[a] > 1):
-                break
-            a -= 1
-        self.pair_at[gap] = a
-        return (a, gap - a) if 2 * a >= gap and a > 0 else None
+        found = self._pairs(gap)
+        while found:
+            if self._there((found[-1], gap - found[-1])):
+                return found[-1], gap - found[-1]
+            found.pop()
+        return None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        a = self.triple_at.get(gap, min(gap - 2, len(self.left) - 1))
-        found = None
-        while 3 * a >= gap and a > 0:
-            if self.left[a] and (rest := self.pair(gap - a)):
-                if all(self.left[x] >= n for x, n in Counter((a, *rest)).items()):
-                    found = (a, *rest)
-                    break
-                if (other := self._other(a, gap - a)) is not None:
-                    found = other
-                    break
-            a -= 1
-        self.triple_at[gap] = a
-        return found
-
-    def _other(self, a: int, gap: int) -> tuple[int, ...] | None:
-        """A pair for ``gap`` beside one piece of length ``a``, where the first pair would need more pieces than there are."""
-        for b in range(min(gap - 1, len(self.left) - 1), (gap - 1) // 2, -1):
-            if all(self.left[x] >= n for x, n in Counter((a, b, gap - b)).items()):
-                return (a, b, gap - b)
+        found = self._triples(gap)
+        while found:
+            a = found[-1]
+            if self.left[a] and self.pair(gap - a):
+                for b in reversed(self.pairs[gap - a]):
+                    if b <= a and self._there((a, b, gap - a - b)):
+                        return a, b, gap - a - b
+            found.pop()
         return None
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
-        if gap < len(self.left) and self.left[gap]:
+        if gap in self.singles and self.left[gap]:
             return (gap,)
         return self.pair(gap) or self.triple(gap)
 
@@ -124,7 +144,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    sums, plan = _Sums(left), []
+    sums, plan = Complements(left), []
     for length in range(capacity, 0, -1):
         while left[length]:
             left[length] -= 1  # one piece is set aside while its companions are sought
@@ -166,24 +186,23 @@ def plan_table(plan: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "each", "sequence", "offset"), table.T, strict=True))
 
 
-def numbered(pieces: DataFrame, id_col: str, largest: int) -> DataFrame:
-    """``pieces`` with ``number``, from 0 on within each length."""
-    salts = max(1, min(4096, -(-largest // GROUP)))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(by_length), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "start", "ids_crc32")
-    joined = salted.withColumn("_row", F.row_number().over(order)).join(small(before, 32), ["length", "_salt"])
-    return joined.select(*pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("number"))
+def numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``number``, from 0 on within each length, in place of ``task, nth``: how many pieces of the length earlier tasks made is
+    summed over a row for each length and task."""
+    made = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = made.select(F.col("length").alias("_length"), F.col("task").alias("_task"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    before = small(materialised(before, "before"))
+    joined = pieces.join(before, (F.col("length") == F.col("_length")) & (F.col("task") == F.col("_task")))
+    return joined.select(*(c for c in pieces.columns if c not in ("task", "nth")), (F.col("_before") + F.col("nth")).alias("number"))
 
 
-def packed(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``: every piece once, sequences without gaps and of at most ``capacity``."""
+def packed(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` (of ``token_pieces``) with ``sequence_id`` and ``offset``: every piece once, sequences without gaps and of at most ``capacity``."""
     pieces = materialised(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = plan_table(packing_plan(counts, capacity))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name not in ("task", "nth"))
 
     def place(batches):
         keys = (table["length"] << 44) | table["first"]
@@ -196,7 +215,7 @@ def packed(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFram
                 [*columns, pa.array(table["sequence"][at] + turn), pa.array(table["offset"][at] + nth * length)], names=[*batch.schema.names[:-1], "sequence_id", "offset"]
             )
 
-    return numbered(pieces, id_col, max(counts.values(), default=0)).mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
+    return numbered(pieces).mapInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,4 +224,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, id_col: str
     A null or empty text is one piece of the end id. Repeated rows are packed each; rows tie freely, since equal pieces are
     alike; an empty table gives no rows; other columns are not looked at.
     """
-    return packed(token_pieces(docs, path, capacity, id_col, text_col), capacity, id_col)
+    return packed(token_pieces(docs, path, capacity, id_col, text_col), capacity)

@@ -119,18 +119,18 @@ def common_lines(texts: DataFrame, limits: Limits) -> DataFrame:
     uses = texts.select("host", "key", F.explode("lines.h").alias("h"))
     often = uses.groupBy("host", "h").count().where(F.col("count") > limits.docs).select("host", "h")
     often = materialised(often, "often")
-    near = uses.join(small(often, 32), (uses["host"].eqNullSafe(often["host"])) & (uses["h"] == often["h"]), "left_semi")
+    near = uses.join(small(often), (uses["host"].eqNullSafe(often["host"])) & (uses["h"] == often["h"]), "left_semi")
     near = materialised(near, "near")
     shared = near.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
     carriers = materialised(texts.join(shared, "key").select("host", "key", "lines", (F.size("lines") - F.col("shared")).alias("own")), "carriers")
     groups = materialised(copies(carriers, limits), "copies").withColumnRenamed("key", "_key")
-    groups = small(groups, 24)
+    groups = small(groups)
     grouped = near.join(groups, near["key"] == F.col("_key"), "left").select("host", "h", F.coalesce("root", "key").alias("one"))
     counted = grouped.groupBy("host", "h").agg(F.count_distinct("one").alias("n"))
     all_, spare = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts")), carriers.join(groups, carriers["key"] == F.col("_key")).where("key <> root").groupBy("host").agg(F.count(F.lit(1)).alias("spare"))
     spare = spare.withColumnRenamed("host", "_host")
     hosts = all_.join(spare, all_["host"].eqNullSafe(spare["_host"]), "left").select("host", (F.col("texts") - F.coalesce("spare", F.lit(0))).alias("docs"))
-    hosts = small(materialised(hosts, "hosts"), 64)
+    hosts = small(materialised(hosts, "hosts"))
     joined = counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).select(counted["*"], "docs")
     return joined.where(F.col("n") > F.greatest(F.lit(float(limits.docs)), F.col("docs") * limits.share)).select("host", "h")
 
@@ -147,7 +147,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     texts = base.where(F.size("lines") > 0).groupBy("host", "ta", "tb").agg(F.any_value("lines").alias("lines"))
     common = materialised(common_lines(texts, limits), "common")
     rows = texts.select("host", "ta", "tb", F.explode("lines").alias("line"))
-    hit = rows.join(small(common, 32), rows["host"].eqNullSafe(common["host"]) & (F.col("line.h") == common["h"])).select(rows["host"], "ta", "tb", "line")
+    hit = rows.join(small(common), rows["host"].eqNullSafe(common["host"]) & (F.col("line.h") == common["h"])).select(rows["host"], "ta", "tb", "line")
     gone = hit.groupBy("host", "ta", "tb").agg(F.sum("line.n").alias("gone_words"), F.collect_set("line.h").alias("gone"))
     gone = gone.withColumnsRenamed({"host": "_host", "ta": "_ta", "tb": "_tb"})
     out = base.join(gone, base["host"].eqNullSafe(gone["_host"]) & (base["ta"] == gone["_ta"]) & (base["tb"] == gone["_tb"]), "left")
@@ -183,7 +183,7 @@ def filtered(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """
     verdicts = judged(docs, limits=limits)
     keys = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("ta").alias("_ta"), F.col("tb").alias("_tb"), "gone")
-    keys = small(materialised(keys.dropDuplicates(["_id", "_host", "_ta", "_tb"]), "kept"), 64)
+    keys = small(materialised(keys.dropDuplicates(["_id", "_host", "_ta", "_tb"]), "kept"))
     rows = docs.select(packed_row(docs, "text"), "doc_id", "source", "text")
     text = text_of("text")
     on = (

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,6 @@ from rankloom.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def valid(plan, counts, capacity):
@@ -79,6 +79,20 @@ def test_awkward_rows(spark):
 
 
 def test_small_sequences_and_hot_lengths(spark):
-    docs = documents(spark, ["same text again"] * 500 + ["a b c d e f g h i j k l m n o p", None, "<|endoftext|> is text"])
+    docs = documents(spark, ["same text again"] * 500 + ["a b c d e f g h i j k l m n o p", None, "<|endoftext|> is a token", "so is<|endoftext|><|endoftext|>this one's"])
     total = sum(r["length"] for r in packing.token_pieces(docs, PATH, 16).collect())
     assert check(docs, packing.pack_documents(docs, PATH, 16), 16) <= -(-total // 16) + 1
+
+
+def test_the_index_finds_every_complement():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        left = np.zeros(41, np.int64)
+        left[rng.integers(1, 41, 6)] = rng.integers(1, 3, 6)
+        have = [x for x in range(41) for _ in range(left[x])]
+        sums = {sum(c) for n in (1, 2, 3) for c in combinations(have, n)}
+        index = packing.Complements(left)
+        for gap in range(1, 41):
+            found = index.exact(gap)
+            assert (found is not None) == (gap in sums)
+            assert found is None or (sum(found) == gap and all(left[x] >= n for x, n in Counter(found).items()))

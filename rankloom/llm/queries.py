@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import ann, byte_bpe, chat_format, line_dedup, ngram_join, packing, quality_rules, token_rollup, toxicity, url_filter
-from rankloom.llm.common import materialised, shared_dir, text_of
+from rankloom.llm.common import materialised, text_of, work_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -222,78 +222,64 @@ from docs d left join tally using (rid) left join cut using (rid) left join rest
 """
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of ``documents`` after three batches: all are inserted, counted in words and, for now, in characters; the latter are
-    revised to bytes; documents of fewer than three words are deleted. The first batch comes twice, once with repeated events."""
-    text = text_of("text")
-    docs = read(spark, sf_dir, "documents").select(
-        F.to_json(F.struct("doc_id", "source", "lang", F.xxhash64(text).alias("text"))).alias("id"),
-        "source",
-        "lang",
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
-        F.length(text).cast("long").alias("chars"),
-        F.octet_length(text).cast("long").alias("bytes"),
+#: The tokenizer versions that are counted, and their rank files.
+VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+
+
+def rolled_up(spark: SparkSession, docs: DataFrame, first: str, second: str, short: str) -> DataFrame:
+    """Totals of ``docs`` (``id, source, lang`` and a count for each version) under two versions, after batches that cancel out or repeat.
+
+    The second version's counts are those of the first until they are revised; the rows that ``short`` names are deleted and inserted
+    again; the first batch comes twice under its name, once with its events repeated, and once more under another name.
+    """
+
+    def events(rows: DataFrame, second_count: str = second, suffix: str = "") -> DataFrame:
+        made = [token_rollup.inserted(rows, F.concat_ws("/", "id", F.lit(v + suffix)), v, F.col(c)) for v, c in ((first, first), (second, second_count))]
+        return made[0].unionByName(made[1])
+
+    revised = docs.where(F.col(first) != F.col(second)).select(
+        F.concat_ws("/", "id", F.lit(second)).alias("event_id"), F.lit("revise").alias("kind"), "source", "lang", F.lit(second).alias("version"), F.col(second).alias("tokens"), F.col(first).alias("prior")
     )
-    docs = materialised(docs, "counts")
-    key = lambda version: F.concat_ws("/", "id", F.lit(version))
-    inserts = token_rollup.inserted(docs, key("words-1"), "words-1", F.col("words")).unionByName(token_rollup.inserted(docs, key("bytes-1"), "bytes-1", F.col("chars")))
-    revised = token_rollup.inserted(docs.where("chars <> bytes"), key("bytes-1"), "bytes-1", F.col("bytes"))
-    gone = docs.where("words < 3")
-    deletes = token_rollup.inserted(gone, key("words-1"), "words-1", F.col("words")).unionByName(token_rollup.inserted(gone, key("bytes-1"), "bytes-1", F.col("bytes")))
-    chars = docs.where("chars <> bytes").select(key("bytes-1").alias("event_id"), "chars")
-
-    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rankloom/rollup-{uuid.uuid4().hex}")
+    gone = docs.where(short)
+    rollup = token_rollup.Rollup(spark, f"{work_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    inserts = events(docs, first)
     rollup.commit("inserts", inserts)
-    rollup.commit("revisions", revised.withColumn("kind", F.lit("revise")).drop("prior").join(chars.distinct(), "event_id").withColumnRenamed("chars", "prior"))
+    rollup.commit("revisions", revised)
     rollup.commit("inserts", inserts.unionByName(inserts))
-    rollup.commit("deletes", deletes.withColumn("kind", F.lit("delete")))
+    rollup.commit("deletes", events(gone).withColumn("kind", F.lit("delete")))
     rollup.compact()
+    rollup.commit("again", inserts)
+    rollup.commit("returns", events(gone, suffix="/2"))
     return rollup.totals()
 
 
-OP10_SQL = r"""
-with docs as (
-  select distinct doc_id, source, lang, coalesce(text, '') as text from documents
-), counted as (
-  select source, lang, text, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w : w <> '')) as words from docs
-), versions as (
-  select source, lang, 'words-1' as version, words as tokens from counted where words >= 3
-  union all select source, lang, 'bytes-1', strlen(text) from counted where words >= 3
-)
-select source, lang, version, count(*) as docs, cast(sum(tokens) as bigint) as tokens from versions group by all
-"""
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all ``documents`` in ids of two byte-pair vocabularies. Each row is an insert of its own, numbered when its counts are
+    written."""
+    about = F.struct(F.monotonically_increasing_id().alias("id"), "source", "lang").alias("about")
+    paths = {v: public_tokenizers.path(file) for v, file in VERSIONS.items()}
+    rows = byte_bpe.counted(read(spark, sf_dir, "documents").select(about, "text"), paths, "about")
+    docs = materialised(rows.select("about.*", *paths), "counts")
+    return rolled_up(spark, docs, *paths, short="byte_bpe_50k < 10")
 
 
-def op10_tokenizer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all ``documents`` in words, bytes and ids of a byte-pair vocabulary. Each row is an insert of its own, numbered when its
-    counts are written. Bytes are characters until they are revised; documents of fewer than three words are deleted and inserted
-    again; the first batch comes twice."""
+def op10_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op10_token_counts``, in words and in bytes, which SQL can count as well."""
     text = text_of("text")
-    counts = {
-        "words": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
-        "chars": F.length(text).cast("long"),
-        "bytes": F.octet_length(text).cast("long"),
-    }
-    about = F.struct(F.monotonically_increasing_id().alias("id"), "source", "lang", *(c.alias(n) for n, c in counts.items())).alias("about")
-    rows = byte_bpe.encoded(read(spark, sf_dir, "documents").select(about, "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), "about")
-    docs = materialised(rows.select("about.*", F.size("ids").cast("long").alias("ids")), "counts")
-
-    def events(rows: DataFrame, size: str = "bytes") -> DataFrame:
-        made = [token_rollup.inserted(rows, F.concat_ws("/", "id", F.lit(v)), v, F.col(c)) for v, c in (("words-1", "words"), ("bytes-1", size), ("byte_bpe_50k", "ids"))]
-        return made[0].unionByName(made[1]).unionByName(made[2])
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words-1")
+    docs = read(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("id"), "source", "lang", words, F.octet_length(text).cast("long").alias("bytes-1"))
+    return rolled_up(spark, materialised(docs, "counts"), "words-1", "bytes-1", short="`words-1` < 3")
 
-    revised = docs.where("chars <> bytes").select(F.concat_ws("/", "id", F.lit("bytes-1")).alias("event_id"), F.lit("revise").alias("kind"), "source", "lang", F.lit("bytes-1").alias("version"), F.col("bytes").alias("tokens"), F.col("chars").alias("prior"))
-    short = docs.where("words < 3")
 
-    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rankloom/rollup-{uuid.uuid4().hex}")
-    inserts = events(docs, "chars")
-    rollup.commit("inserts", inserts)
-    rollup.commit("revisions", revised)
-    rollup.commit("inserts", inserts.unionByName(inserts))
-    rollup.commit("deletes", events(short).withColumn("kind", F.lit("delete")))
-    rollup.commit("returns", events(short))
-    rollup.compact()
-    return rollup.totals()
+OP10_SQL = r"""
+with counted as (
+  select source, lang, coalesce(text, '') as text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w : w <> '')) as words from documents
+), versions as (
+  select source, lang, 'words-1' as version, words as tokens from counted
+  union all select source, lang, 'bytes-1', strlen(text) from counted
+)
+select source, lang, version, count(*) as docs, cast(sum(tokens) as bigint) as tokens from versions group by all
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -308,7 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_toxicity,
         op10_token_counts,
-        op10_tokenizer_totals,
+        op10_word_totals,
     )
     return {f.__name__: f for f in found}
 
@@ -320,5 +306,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": OP3_SQL,
         "op5_url_filters": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
-        "op10_token_counts": OP10_SQL,
+        "op10_word_totals": OP10_SQL,
     }

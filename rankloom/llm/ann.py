@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by inner product: inverted lists, scanned dimension by dimension.
 
 Centroids are fitted on a bounded sample; every vector goes to its nearest centroid's list. How many lists a query probes is
-what reaches the target recall against brute force on vectors that the centroids were not fitted on. Within a list, vectors and queries are turned by one random
-rotation, and distances grow block of columns by block of columns: after each, a candidate whose partial distance makes it
-unlikely to reach the score of the query's k-th best among sampled vectors of its probed lists is abandoned (a test on the partial sum of
-squares, which a rotation spreads evenly over columns). Queries that end with fewer than k rows are asked again of all lists, without a bound. Survivors are scored exactly, in double precision, on the original vectors.
+what reaches the target recall against brute force on vectors that the centroids were not fitted on. Within a list, vectors and
+queries are turned by one random rotation, and distances grow block of columns by block of columns: after each, a candidate whose
+partial distance makes it unlikely to reach the query's bound is abandoned (a test on the partial sum of squares, which a rotation
+spreads evenly over columns). Survivors are scored exactly, in double precision, on the original vectors.
+
+A query's bound is the score of its k-th best so far. It asks its nearest list first; what it finds there is its bound in the other
+lists, and within a list the bound rises with every slice of vectors. Queries that end with fewer than k rows ask all lists.
 
 Long lists are cut into blocks, and so are the queries of a list, so that a list with a third of all vectors is many tasks.
 """
@@ -23,20 +26,20 @@ from rankloom.llm.common import materialised, small
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: vectors that fitting takes at most. ``lists``: at most; about the root of the number of vectors otherwise.
-    ``held``: further vectors, not for fitting, on which
-    the probes reach ``recall``. ``epsilon``: how far a partial distance must be off, in standard deviations,
-    before a candidate is abandoned. ``columns``: of a block. ``few``: at what share of pairs left they are looked at one by one.
-    ``kept``: vectors of the sample that give queries their first bound. ``block``, ``queries``: rows of a task's group, about."""
-
-    sample: int = 20_000
-    lists: int = 16_384
+    """``sample``: vectors that fitting takes at most. ``lists``: at most; the root of the number of vectors or an eighth of those
+    fitted on, if that is less. ``held``: further vectors, not for fitting, on which the probes reach ``recall``. ``epsilon``: how far a
+    partial distance must be off, in standard deviations, before a candidate is abandoned. ``columns``: of a block. ``few``: at what share
+    of pairs left they are looked at one by one. ``slice``: vectors after which bounds rise. ``block``, ``queries``: rows of a task's
+    group, about."""
+
+    sample: int = 65_536
+    lists: int = 8192
     held: int = 4096
     recall: float = 0.985
     epsilon: float = 3.0
     columns: int = 16
     few: float = 0.05
-    kept: int = 4096
+    slice: int = 512
     block: int = 2048
     queries: int = 2048
 
@@ -54,7 +57,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 class Index:
     """Centroids, the rotation and the number of probes."""
 
-    def __init__(self, sample: np.ndarray, total: int, settings: Settings, k: int, ids: np.ndarray | None = None):
+    def __init__(self, sample: np.ndarray, total: int, settings: Settings, k: int):
         rng = np.random.default_rng(7)
         self.dim, self.settings = sample.shape[1], settings
         order = rng.permutation(len(sample))
@@ -69,15 +72,12 @@ class Index:
             self.centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], self.centroids)
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
         self.probes = self._needed(held, rng, max(1, -(-k * len(held) // total)))
-        kept = rng.permutation(len(sample))[: settings.kept]
-        self.kept, self.kept_ids = sample[kept], (np.arange(len(sample)) if ids is None else ids)[kept]
-        self.kept_lists = self.nearest(self.kept)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         near = np.empty(len(x), np.int64)
         half = (self.centroids**2).sum(1) / 2
-        for i in range(0, len(x), 4096):
-            near[i : i + 4096] = (x[i : i + 4096] @ self.centroids.T - half).argmax(1)
+        for i in range(0, len(x), 1024):
+            near[i : i + 1024] = (x[i : i + 1024] @ self.centroids.T - half).argmax(1)
         return near
 
     def probed(self, q: np.ndarray, n: int) -> np.ndarray:
@@ -85,17 +85,6 @@ class Index:
         products = q @ self.centroids.T
         return np.argsort(-products, axis=1, kind="stable")[:, :n]
 
-    def reached(self, q: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
-        """A score that at least ``k`` vectors of other ids in the probed lists ``near`` reach, by the part of the sample that is kept: what a
-        neighbour must score."""
-        if len(self.kept) < k:
-            return np.full(len(q), -np.inf)
-        probed = np.zeros((len(q), len(self.centroids)), bool)
-        np.put_along_axis(probed, near, True, 1)
-        products = np.where(probed[:, self.kept_lists] & (self.kept_ids[None, :] != ids[:, None]), q @ self.kept.T, -np.inf)
-        best = np.partition(products, len(self.kept) - k, axis=1)[:, len(self.kept) - k]
-        return best - 1e-9 * (1 + np.abs(best))
-
     def _needed(self, sample: np.ndarray, rng: np.random.Generator, k: int) -> int:
         """Probes that find the target share of the ``k`` nearest neighbours within ``sample``: as many as a query's neighbours among all
         vectors leave in a sample of this size."""
@@ -110,61 +99,59 @@ class Index:
         return int(ranks[min(len(ranks) - 1, int(len(ranks) * self.settings.recall))]) + 1
 
 
+def _survivors(vectors: np.ndarray, squares: np.ndarray, queries: np.ndarray, squares_q: np.ndarray, limits: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Places of queries and of (turned) vectors whose product may reach the query's limit.
+
+    While many pairs are left, a block of columns is one product of matrices; then only the pairs left are looked at.
+    """
+    dim = vectors.shape[1]
+    total = squares_q[:, None] + squares[None, :]
+    limit = np.where(np.isinf(limits), 0.0, limits)[:, None]
+    bound = np.where(np.isinf(limits)[:, None], np.inf, total - 2 * limit) + 1e-9 * (total + np.abs(limit))
+    partial, which, rows = np.zeros_like(total), None, None
+    for c in range(0, dim, settings.columns):
+        cut = slice(c, min(dim, c + settings.columns))
+        allowed = 1.0 if cut.stop == dim else (1 + settings.epsilon / cut.stop**0.5) ** 2 * cut.stop / dim
+        if which is None:
+            part, part_q = vectors[:, cut], queries[:, cut]
+            partial += (part_q**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * (part_q @ part.T)
+            left = partial <= allowed * bound + 1e-9 * total
+            partial[~left] = np.inf
+            if cut.stop == dim or left.mean() < settings.few:
+                which, rows = np.nonzero(left)
+                partial, bound = partial[which, rows], bound[which, rows]
+        else:
+            partial = partial + ((vectors[rows, cut] - queries[which, cut]) ** 2).sum(1)
+            left = partial <= allowed * bound + 1e-9
+            which, rows, partial, bound = which[left], rows[left], partial[left], bound[left]
+    return which, rows
+
+
 def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, rotation: np.ndarray, k: int, settings: Settings):
     """For each query its ``k`` nearest among ``vectors`` that score ``bounds`` or more: arrays of query ids, ids and scores. Equal
     scores go by id.
 
-    Queries go in chunks. While many pairs are left, a block of columns is one product of matrices; then only the pairs left are
-    looked at.
+    Queries go in chunks, vectors in slices; after each slice a query's bound rises to the ``k``-th best that it has found.
     """
-    dim = vectors.shape[1]
     turned, turned_q = vectors @ rotation, queries @ rotation
     squares, squares_q = (vectors**2).sum(1), (queries**2).sum(1)
     out: list[tuple[np.ndarray, ...]] = []
     for lo in range(0, len(queries), 128):
         chunk = slice(lo, lo + 128)
-        q, own, q_turned = queries[chunk], query_ids[chunk], turned_q[chunk]
-        total = squares_q[chunk, None] + squares[None, :]
-        limit = np.where(np.isinf(bounds[chunk]), np.inf, bounds[chunk])[:, None]
-        bound = np.where(np.isinf(limit), np.inf, total - 2 * limit) + 1e-9 * total
-        partial, which, rows = np.zeros_like(total), None, None
-        for c in range(0, dim, settings.columns):
-            cut = slice(c, min(dim, c + settings.columns))
-            allowed = 1.0 if cut.stop == dim else (1 + settings.epsilon / cut.stop**0.5) ** 2 * cut.stop / dim
-            if which is None:
-                part, part_q = turned[:, cut], q_turned[:, cut]
-                partial += (part_q**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * (part_q @ part.T)
-                left = partial <= allowed * bound + 1e-9 * total
-                partial[~left] = np.inf
-                if cut.stop == dim or left.mean() < settings.few:
-                    which, rows = np.nonzero(left)
-                    partial, bound = partial[which, rows], bound[which, rows]
-            else:
-                partial = partial + ((turned[rows, cut] - q_turned[which, cut]) ** 2).sum(1)
-                left = partial <= allowed * bound + 1e-9
-                which, rows, partial, bound = which[left], rows[left], partial[left], bound[left]
-        other = ids[rows] != own[which]
-        which, rows = which[other], rows[other]
-        scores = (vectors[rows] * q[which]).sum(1)
-        top = np.lexsort((ids[rows], -scores, which))
-        which, rows, scores = which[top], rows[top], scores[top]
-        kept = np.arange(len(which)) - np.searchsorted(which, which) < k
-        out.append((own[which[kept]], ids[rows[kept]], scores[kept]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def scan_all(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
-    """As ``scan``, without bounds and without abandoning: the ``k`` nearest by products of matrices, then scored like the others."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for lo in range(0, len(queries), 128):
-        q, own = queries[lo : lo + 128], query_ids[lo : lo + 128]
-        products = np.where(ids[None, :] == own[:, None], -np.inf, q @ vectors.T)
-        best = np.partition(products, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)][:, None]
-        least = np.where(np.isinf(best), best, best - 1e-9 * (1 + np.abs(best)))
-        which, rows = np.nonzero((products >= least) & ~np.isinf(products))
-        scores = (vectors[rows] * q[which]).sum(1)
+        q, own, best = queries[chunk], query_ids[chunk], np.full((len(queries[chunk]), k), -np.inf)
+        found: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(vectors), settings.slice):
+            part = slice(at, at + settings.slice)
+            which, rows = _survivors(turned[part], squares[part], turned_q[chunk], squares_q[chunk], np.maximum(bounds[chunk], best.min(1)), settings)
+            rows = rows + at
+            other = ids[rows] != own[which]
+            which, rows = which[other], rows[other]
+            scores = (vectors[rows] * q[which]).sum(1)
+            found.append((which, rows, scores))
+            new = np.full((len(q), len(squares[part])), -np.inf)
+            new[which, rows - at] = scores
+            best = np.partition(np.concatenate([best, new], axis=1), new.shape[1], axis=1)[:, -k:]
+        which, rows, scores = (np.concatenate(x) for x in zip(*found, strict=True))
         top = np.lexsort((ids[rows], -scores, which))
         which, rows, scores = which[top], rows[top], scores[top]
         kept = np.arange(len(which)) - np.searchsorted(which, which) < k
@@ -189,9 +176,14 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
     total = rows.count()
     if not total:
         return spark.createDataFrame([], out)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample + settings.held).select("id", "v").toArrow()
-    index = Index(_matrix(some["v"].combine_chunks(), dim), total, settings, k, some["id"].to_numpy())
-    lists, probes = len(index.centroids), index.probes
+    most = settings.sample + settings.held
+    # by a hash of ids, each id once: copies of a row weigh no more than one, and no task or driver sees more than the sample
+    share = int((1 << 30) * min(1.0, most / total))
+    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).groupBy("id").agg(F.min("v").alias("v")).limit(most).toArrow()
+    if not drawn.num_rows:
+        drawn = rows.limit(1).toArrow()
+    index = Index(_matrix(drawn.sort_by("id")["v"].combine_chunks(), dim), total, settings, k)
+    probes = index.probes
 
     def assigned(batches):
         for batch in batches:
@@ -203,26 +195,20 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
             x = _matrix(batch.column(1), dim) if batch.num_rows else np.empty((0, dim))
             for i in range(0, len(x), 256):
                 near = index.probed(x[i : i + 256], probes)
-                reach = pa.array(np.repeat(index.reached(x[i : i + 256], batch.column(0).to_numpy()[i : i + 256], near, k), near.shape[1]))
-                rows = pa.array(np.repeat(np.arange(i, i + len(near)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows), reach], names=["list", "id", "v", "reach"])
+                at = pa.array(np.repeat(np.arange(i, i + len(near)), near.shape[1]))
+                turn = pa.array(np.tile(np.arange(near.shape[1]), len(near)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), batch.column(0).take(at), batch.column(1).take(at), turn], names=["list", "id", "v", "turn"])
 
     schema = "list bigint, id bigint, v array<double>"
-    stored = materialised(rows.mapInArrow(assigned, schema), "lists")
+    stored = materialised(rows.mapInArrow(assigned, schema).withColumn("nth", F.monotonically_increasing_id()), "lists")
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = materialised(queries.mapInArrow(probing, f"{schema}, reach double"), "probes")
+    asked = materialised(queries.mapInArrow(probing, f"{schema}, turn int"), "probes")
 
     def searched(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         a, b, c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if vectors.num_rows and queries.num_rows:
             (x, ids), (q, query_ids) = ((_matrix(t["v"].combine_chunks(), dim), t["id"].to_numpy()) for t in (vectors, queries))
-            bounds = queries["reach"].to_numpy()
-            free, found = np.isinf(bounds), []
-            if free.any():
-                found.append(scan_all(x, ids, q[free], query_ids[free], k))
-            if not free.all():
-                found.append(scan(x, ids, q[~free], query_ids[~free], bounds[~free], index.rotation, k, settings))
-            a, b, c = (np.concatenate(y) for y in zip(*found, strict=True))
+            a, b, c = scan(x, ids, q, query_ids, queries["reach"].to_numpy(), index.rotation, k, settings)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -233,17 +219,23 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, settings:
     def best(asked: DataFrame) -> DataFrame:
         parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.queries).cast("int").alias("parts"))
         plan = small(materialised(cut.join(parts, "list"), "plan"))
-        left = stored.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", numbers(F.col("parts")))
+        left = stored.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("nth"), "blocks").cast("int")).withColumn("part", numbers(F.col("parts")))
         right = asked.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int")).withColumn("block", numbers(F.col("blocks")))
         key = ["list", "block", "part"]
         near = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "id", "v", "reach").groupBy(*key)).applyInArrow(searched, "query_id bigint, vec_id bigint, score double")
         return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    first = materialised(best(asked), "nearest")
-    full = first.groupBy("query_id").count().where(F.col("count") >= k)
+    free = F.lit(float("-inf")).alias("reach")
+    first = materialised(best(asked.where("turn = 0").select("list", "id", "v", free)), "first")
+    reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("_id"), "least")
+    bounded = asked.where("turn > 0").join(small(reached), F.col("id") == F.col("_id"), "left").select("list", "id", "v", F.coalesce("least", free).alias("reach"))
+    both = first.unionByName(best(bounded)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    both = materialised(both, "nearest")
+    full = both.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     short = materialised(queries.join(small(full), F.col("id") == F.col("query_id"), "left_anti"), "short")
     if not short.count():
-        return first
-    everywhere = short.join(F.broadcast(cut.select("list"))).select("list", "id", "v", F.lit(float("-inf")).alias("reach"))
+        return both
+    # as many rows as short queries and lists: all of them only where the table has no more than k candidates
+    everywhere = short.join(F.broadcast(cut.select("list"))).select("list", "id", "v", free)
     again = best(materialised(everywhere, "everywhere"))
-    return first.join(small(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(again)
+    return both.join(small(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(again)

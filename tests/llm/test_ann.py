@@ -1,5 +1,8 @@
+import os
+
 import numpy as np
 import pytest
+from llm_support import with_clashes
 
 from rankloom.llm import ann
 
@@ -31,7 +34,7 @@ def recall(found, want):
     return np.mean([len({i for i, _ in found.get(q, [])} & {i for i, _ in w}) / len(w) for q, w in want.items() if w])
 
 
-@pytest.mark.parametrize("settings", [{}, {"block": 100, "queries": 7}, {"kept": 200, "columns": 5}])
+@pytest.mark.parametrize("settings", [{}, {"block": 100, "queries": 7}, {"slice": 40, "columns": 5}])
 def test_recall_and_scores(spark, settings):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 24)) * 2
@@ -68,15 +71,30 @@ def test_every_query_gets_its_rows_where_few_lists_are_probed(spark, monkeypatch
     assert len(found) == 61 and all(len(v) == 20 for v in found.values())
 
 
-def test_bounds_come_from_probed_lists_and_other_ids():
+def test_a_scan_finds_what_reaches_its_bounds():
     rng = np.random.default_rng(4)
-    x, ids = rng.normal(size=(900, 8)), np.r_[np.zeros(300, int), np.arange(1, 601)]
-    index = ann.Index(x, 900, ann.Settings(), 20, ids)
-    q = x[:50]
-    near = index.probed(q, 8)
-    lists = index.nearest(x)
-    for query, lists_of, bound in zip(q, near, index.reached(q, ids[:50], near, 20), strict=True):
-        assert np.isinf(bound) or (x[np.isin(lists, lists_of) & (ids != 0)] @ query >= bound).sum() >= 20
+    x, ids = rng.normal(size=(900, 24)), np.r_[np.zeros(300, int), np.arange(1, 601)]
+    q, own = x[:140], ids[:140]
+    products = np.where(ids[None, :] == own[:, None], -np.inf, q @ x.T)
+    best = np.sort(products, axis=1)[:, ::-1]
+    rotation = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    for bounds, epsilon in ((np.full(140, -np.inf), 99.0), (best[:, 9], 99.0), (best[:, 9], 3.0)):
+        a, b, c = ann.scan(x, ids, q, own, bounds, rotation, 20, ann.Settings(slice=64, columns=8, epsilon=epsilon))
+        want = 140 * (20 if np.isinf(bounds[0]) else 10)
+        assert len(a) == want if epsilon == 99.0 else len(a) > 0.97 * want
+        assert (np.bincount(a) <= 140 * 20).all() and np.isfinite(c).all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_table(spark, sf):
+    path = os.path.join(os.path.dirname(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")), sf)
+    frame = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
+    found, want = {}, brute(rows, 20)
+    for r in ann.nearest_neighbours(with_clashes(frame.drop("id"))).collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert found.keys() == want.keys() and all(len(v) == min(20, len(rows) - 1) for v in found.values())
+    assert recall(found, want) >= 0.95
 
 
 def test_ties_go_to_the_smaller_id(spark):

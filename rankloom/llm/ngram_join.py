@@ -1,17 +1,20 @@
-"""Jaccard self-join on word n-grams by banded MinHash with exact verification.
-
-1. Each text becomes its set of hashed shingles and a signature. Texts of one set are one *class of copies* from there on: a
-   group of copies of any size is one row.
-2. Banded MinHash takes the place of an LSH forest: a tree is a band of a few values of the signature, and two texts meet in it
-   if they share all of these. How many is a formula of the settings: the most, up to ``deepest``, at which the target recall is
-   reached at the threshold. The threshold is fixed, so no tries are kept and no longer prefixes matched. Bands that hold the
-   same texts are looked at once.
-3. Within a shared prefix, signatures are compared, in blocks; what cannot reach the threshold is dropped. What is left makes
+"""Jaccard self-join on word n-grams by a MinHash LSH forest with exact verification.
+
+1. Each text becomes its set of hashed shingles and, for each tree, a label: a sequence of min-hashes. Texts of one set are one *class
+   of copies* from there on: a group of copies of any size is one row.
+2. The labels of all trees are sorted, over range partitions: each tree lies there as a prefix trie, and the longest prefix that a
+   text shares with any other is the longer of those that it shares with its two neighbours. Rows at the ends of partitions get
+   their outer neighbours afterwards. Texts that share too little with their neighbours in a tree are gone from it at this point.
+3. The matched prefixes are shortened, level by level, until the forest reaches the target recall for the text's *least possible* link.
+   That is a matter of its size: a set of six shingles is linked to another one from 5/6 on, so that longer prefixes do, and one of
+   three to none; large sets can come close to the threshold. Texts meet in the trie's nodes at these depths; nodes of several trees
+   that hold the same texts are looked at once.
+4. Within a node, signatures are compared, in blocks; what cannot reach the threshold is dropped. What is left makes
    candidate groups.
-4. Within a candidate group, shingle sets are intersected exactly, block by block. A task returns for each of its texts the
+5. Within a candidate group, shingle sets are intersected exactly, block by block. A task returns for each of its texts the
    number of its links and the smallest text it is tied to: as many rows as texts, not as pairs. No link between different
    texts is left out, and none is assumed.
-5. Links make classes (connected components).
+6. Links make classes (connected components).
 """
 
 from __future__ import annotations
@@ -19,44 +22,63 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import cached_property
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_SPACE, materialised, packed_row, small, small_batches, text_of, unpacked
+from rankloom.llm.common import NOT_SPACE, materialised, packed_row, small, small_batches, step, text_of, unpacked
 from rankloom.llm.components import components
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``width`` words of a shingle. ``threshold``: links have at least this similarity. ``trees`` bands of at most ``deepest`` values, and
-    the recall they must reach at the threshold. ``sigmas``: how far, in standard deviations, an
-    estimate may lie under the threshold. ``block``, ``exact_block``: texts of a block of signatures and of shingle sets."""
+    """``width`` words of a shingle. ``threshold``: links have at least this similarity. ``trees`` with labels of ``deepest`` values, and
+    the recall they must reach. ``sigmas``: how far, in standard deviations, an estimate may lie under the threshold. ``block``,
+    ``exact_block``: texts of a block of signatures and of shingle sets."""
 
     width: int = 5
     threshold: Fraction = Fraction(4, 5)
     trees: int = 32
-    deepest: int = 10
+    deepest: int = 8
     recall: float = 0.9999
     sigmas: float = 5.0
     block: int = 1024
     exact_block: int = 256
 
-    @property
-    def depth(self) -> int:
-        """The deepest prefix at which two texts of the threshold's similarity meet in some tree with the target probability."""
+    def least_link(self, size: int) -> Fraction | None:
+        """The least similarity from the threshold on that a set of ``size`` elements can have with a different one; None if it has no such."""
+        t, found = self.threshold, []
+        for other in range(ceil(t * size), int(size / t) + 1):
+            common = ceil(t * (size + other) / (1 + t))
+            if common <= min(size, other) and not common == size == other:
+                found.append(Fraction(common, size + other - common))
+        return min(found, default=None)
+
+    def depth(self, similarity: float) -> int:
+        """The deepest prefix at which two texts of this similarity meet in some tree with the target probability."""
         depth = self.deepest
-        while depth > 1 and 1 - (1 - float(self.threshold) ** depth) ** self.trees < self.recall:
+        while depth > 1 and 1 - (1 - similarity**depth) ** self.trees < self.recall:
             depth -= 1
         return depth
 
+    @cached_property
+    def stops(self) -> np.ndarray:
+        """To which depth a text's prefixes are shortened, by the size of its set; sets beyond this array are like its last entry. One more
+        than the deepest: the text has no links."""
+        least = [None] + [self.least_link(n) for n in range(1, 65)]
+        # the root gives no pairs, and beyond some size every set is taken to come as near to the threshold as can be
+        return np.array([self.deepest + 1 if s is None else self.depth(float(s)) for s in least] + [self.depth(float(self.threshold))], np.int32)
+
     @property
     def least_match(self) -> float:
         """Least share of equal signature bytes."""
         match = float(self.threshold) + (1 - float(self.threshold)) / 256
-        return match - self.sigmas * (match * (1 - match) / (self.trees * self.depth)) ** 0.5
+        return match - self.sigmas * (match * (1 - match) / (self.trees * self.deepest)) ** 0.5
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,24 +142,24 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 class Forest:
-    def __init__(self, trees: int, depth: int):
+    def __init__(self, settings: Settings):
         rng = np.random.default_rng(13)
-        self.trees, self.depth = trees, depth
-        self.flip = rng.integers(0, 2**32, trees * depth, np.uint32)
-        self.times = rng.integers(0, 2**31, trees * depth, np.uint32) * np.uint32(2) + np.uint32(1)
-        self.place = rng.integers(1, 2**63, (trees, depth), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.trees, self.n = settings.trees, settings.trees * settings.deepest
+        self.flip = rng.integers(0, 2**32, self.n, np.uint32)
+        self.times = rng.integers(0, 2**31, self.n, np.uint32) * np.uint32(2) + np.uint32(1)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         half = (shingles >> np.uint64(32)).astype(np.uint32)
-        least = np.full(len(self.flip), 0xFFFFFFFF, np.uint32)
+        least = np.full(self.n, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(half), 1024):
             np.minimum(least, ((half[i : i + 1024, None] ^ self.flip) * self.times).min(0), out=least)
         return least
 
-    def prefixes(self, signature: np.ndarray) -> np.ndarray:
-        """One number for each tree's prefix."""
-        sums = (signature.reshape(self.trees, self.depth).astype(np.uint64) * self.place).sum(1, dtype=np.uint64)
-        return mixed(sums + np.arange(1, self.trees + 1, dtype=np.uint64)).astype(np.int64)
+    def labels(self, signature: np.ndarray) -> list[bytes]:
+        """For each tree its values, two bytes of each, so that labels sort as sequences of values."""
+        data = signature.astype(np.uint16).astype(">u2").tobytes()
+        width = len(data) // self.trees
+        return [data[i : i + width] for i in range(0, len(data), width)]
 
 
 def _texts(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -154,31 +176,77 @@ def _texts(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[
 
 
 def sketches(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """``id, ta, tb, key, prefixes, bytes``: the key is null for a text without words."""
+    """``id, ta, tb, key, stop, labels, bytes``: the key is null for a text without words."""
     text = text_of(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     picked = small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit("second"), text).alias("tb"), text.alias("text"))
 
     def run(batches):
-        shingler, forest = Shingler(settings.width), Forest(settings.trees, settings.depth)
+        shingler, forest, stops = Shingler(settings.width), Forest(settings), settings.stops
         for batch in batches:
             for at, texts in _texts(batch.column(3)):
-                keys, prefixes, marks = [], [], []
+                keys, depths, labels, marks = [], [], [], []
                 for s in shingler.sets(texts):
-                    if len(s):
-                        signature = forest.signature(s)
-                        keys.append(set_key(s))
-                        prefixes.append(forest.prefixes(signature))
-                        marks.append(signature.astype(np.uint8).tobytes())
-                    else:
-                        keys.append(None)
-                        prefixes.append(None)
-                        marks.append(None)
+                    signature = forest.signature(s) if len(s) else None
+                    keys.append(set_key(s) if len(s) else None)
+                    depths.append(int(stops[min(len(s), len(stops) - 1)]))
+                    labels.append(None if signature is None else forest.labels(signature))
+                    marks.append(None if signature is None else signature.astype(np.uint8).tobytes())
                 part = batch.slice(at, len(texts))
-                columns = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "ta", "tb", "key", "prefixes", "bytes"])
+                columns = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.int64()), pa.array(depths, pa.int32()), pa.array(labels, pa.list_(pa.binary())), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ta", "tb", "key", "stop", "labels", "bytes"])
+
+    return picked.mapInArrow(run, f"id {kind}, ta bigint, tb bigint, key bigint, stop int, labels array<binary>, bytes binary")
+
 
-    return picked.mapInArrow(run, f"id {kind}, ta bigint, tb bigint, key bigint, prefixes array<bigint>, bytes binary")
+def shared_values(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """How many first values each row's label shares with that of the row before it, from the second row on; none with another tree's."""
+    same = (labels[1:] == labels[:-1]).cumprod(1).sum(1)
+    return np.where(trees[1:] == trees[:-1], same, 0)
+
+
+def matched(copies: DataFrame, settings: Settings) -> DataFrame:
+    """``key, stop, tree, label, match``: the rows of the sorted tries whose longest shared prefix, of ``match`` values, is no shorter than
+    the depth to which it is shortened."""
+    spark = copies.sparkSession
+    rows = copies.where(F.col("stop") <= settings.deepest).select("key", "stop", F.posexplode("labels").alias("tree", "label"))
+    tries = rows.repartitionByRange("tree", "label", "key").sortWithinPartitions("tree", "label", "key")
+
+    def run(batches):
+        part, held = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            first = held is None
+            if not first:
+                rows = pa.concat_tables([held[0], rows])
+            labels = np.frombuffer(b"".join(rows["label"].to_pylist()), ">u2").reshape(rows.num_rows, -1)
+            shared = shared_values(rows["tree"].to_numpy(), labels)
+            match = np.maximum(np.r_[0 if first else held[1], shared], np.r_[shared, 0]).astype(np.int32)
+            edge = np.zeros(len(match), np.int32)
+            edge[0] += first or held[2]
+            yield from told(rows.slice(0, len(match) - 1), match[:-1], edge[:-1], part)
+            held = rows.slice(len(match) - 1), int(shared[-1]) if len(shared) else 0, int(edge[-1])
+        if held:
+            yield from told(held[0], np.array([held[1]], np.int32), np.array([held[2] + 2], np.int32), part)
+
+    def told(rows: pa.Table, match: np.ndarray, edge: np.ndarray, part: int):
+        kept = pa.array((match >= rows["stop"].to_numpy()) | (edge > 0))
+        columns = [*(rows[c] for c in ("key", "stop", "tree", "label")), pa.array(match), pa.array(edge), pa.array(np.full(len(match), part, np.int32))]
+        yield from pa.table(columns, ["key", "stop", "tree", "label", "match", "edge", "part"]).filter(kept).to_batches()
+
+    found = materialised(tries.mapInArrow(run, "key bigint, stop int, tree int, label binary, match int, edge int, part int"), "matched")
+    # the first and the last row of each partition: as many as partitions, twice
+    ends = [r.asDict() for r in found.where("edge > 0").orderBy("part", "tree", "label", "key").collect()]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        if a["part"] != b["part"] and a["tree"] == b["tree"]:
+            label = np.frombuffer(bytes(a["label"] + b["label"]), ">u2").reshape(2, -1)
+            shared = int(shared_values(np.zeros(2), label)[0])
+            a["match"], b["match"] = max(a["match"], shared), max(b["match"], shared)
+    columns = ("key", "stop", "tree", "label", "match")
+    outer = spark.createDataFrame([tuple(r[c] for c in columns) for r in ends if r["match"] >= r["stop"]], "key bigint, stop int, tree int, label binary, match int")
+    return found.where("edge = 0").select(*columns).unionByName(outer)
 
 
 def in_blocks(rows: DataFrame, group: str, count: str, block: int) -> DataFrame:
@@ -292,12 +360,19 @@ def _verified(settings: Settings):
 
 
 def _candidates(copies: DataFrame, settings: Settings) -> DataFrame:
-    """``node, root``: candidate groups among classes of copies that share a prefix and whose signatures are close."""
-    rows = materialised(copies.select("key", F.explode("prefixes").alias("prefix")), "prefixes")
-    met = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor("key").alias("x")).where("n > 1")
-    # prefixes of several trees with the same texts: one is enough
+    """``node, root``: candidate groups among classes of copies that meet in a node of the forest and whose signatures are close.
+
+    A text is in the node at its own depth and, since a shorter text may stop deeper, in those below it at which another text stops.
+    """
+    deepest = int(settings.stops[settings.stops <= settings.deepest].max())
+    depths = F.explode(F.sequence(F.col("stop"), F.least("match", F.lit(deepest))))
+    node = F.xxhash64("tree", "depth", F.expr("substring(label, 1, 2 * depth)"))
+    rows = matched(copies, settings).withColumn("depth", depths).select("key", node.alias("prefix"), (F.col("stop") == F.col("depth")).alias("asks"))
+    rows = materialised(rows, "prefixes")
+    met = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor("key").alias("x"), F.bool_or("asks").alias("asked")).where("n > 1 and asked")
+    # nodes of several trees with the same texts: one is enough
     once = materialised(met.groupBy("n", "low", "high", "x").agg(F.min("prefix").alias("prefix")).select("prefix", "n"), "met")
-    members = rows.join(small(once), "prefix").join(copies.select("key", "bytes"), "key")
+    members = rows.select("key", "prefix").join(small(once), "prefix").join(copies.select("key", "bytes"), "key")
     dealt = in_blocks(members.select("prefix", "n", "key", "bytes"), "prefix", "n", settings.block)
     return components(dealt.select("prefix", "i", "j", "own", "key", "bytes").mapInArrow(_similar(settings), "u bigint, v bigint"))
 
@@ -332,43 +407,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows are copies; rows without an id are compared like others, and a class of only such has a null id; an empty
     table gives none; other columns are not looked at. Equality of shingles and of sets is that of 64-bit hashes.
     """
-    sketch = materialised(sketches(docs, settings, id_col, text_col), "sketches")
-    copies = sketch.where(F.col("key").isNotNull()).groupBy("key")
-    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "ta", "tb"))
-    copies = materialised(copies.agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("prefixes").alias("prefixes"), F.any_value("bytes").alias("bytes")), "copies")
-
-    groups = materialised(_candidates(copies, settings), "groups")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.join(sizes, "root").join(copies, F.col("node") == F.col("key")).select("first.id", "first.ta", "first.tb", "key", "root", "n", "copies")
-    # rows that repeat an id and a text give their shingles more than once
-    shingled = _shingled(docs, materialised(wanted, "wanted"), settings, id_col, text_col).groupBy("key").agg(
-        F.any_value("root").alias("root"), F.any_value("n").alias("n"), F.any_value("copies").alias("copies"), F.any_value("shingles").alias("shingles")
-    )
-    dealt = in_blocks(shingled, "root", "n", settings.exact_block)
-    links = dealt.select("root", "i", "j", "own", "key", "copies", "shingles").mapInArrow(_verified(settings), "key bigint, links bigint, tied bigint")
-    links = materialised(links, "links")
-
-    roots = components(links.select(F.col("key").alias("u"), F.col("tied").alias("v")))
-    counted = links.groupBy("key").agg(F.sum("links").alias("links"))
-    told = copies.select("key", "first", "copies").join(counted, "key", "left").join(roots, F.col("key") == F.col("node"), "left")
-    told = told.select("key", F.coalesce("root", "key").alias("root"), "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    names = told.groupBy("root").agg(F.min("first").alias("least"))
-    told = materialised(told.join(names, "root").select(F.col("key").alias("_key"), F.col("root").alias("class_key"), F.col("least.id").alias("class_id"), "n_links"), "classes")
-    out = sketch.select("id", "ta", "tb", "key").join(small(told), F.col("key") == F.col("_key"), "left")
-    own = F.col("key").isNull()
-    return out.select(
-        F.col("id").alias(id_col),
-        "ta",
-        "tb",
-        F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        "class_key",
-    )
+    with step(docs.sparkSession) as lasting:
+        sketch = materialised(sketches(docs, settings, id_col, text_col), "sketches")
+        copies = sketch.where(F.col("key").isNotNull()).groupBy("key")
+        first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "ta", "tb"))
+        copies = materialised(copies.agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("stop").alias("stop"), F.any_value("labels").alias("labels"), F.any_value("bytes").alias("bytes")), "copies")
+
+        groups = materialised(_candidates(copies, settings), "groups")
+        sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        wanted = groups.join(sizes, "root").join(copies, F.col("node") == F.col("key")).select("first.id", "first.ta", "first.tb", "key", "root", "n", "copies")
+        # rows that repeat an id and a text give their shingles more than once
+        shingled = _shingled(docs, materialised(wanted, "wanted"), settings, id_col, text_col).groupBy("key").agg(
+            F.any_value("root").alias("root"), F.any_value("n").alias("n"), F.any_value("copies").alias("copies"), F.any_value("shingles").alias("shingles")
+        )
+        dealt = in_blocks(shingled, "root", "n", settings.exact_block)
+        links = dealt.select("root", "i", "j", "own", "key", "copies", "shingles").mapInArrow(_verified(settings), "key bigint, links bigint, tied bigint")
+        links = materialised(links, "links")
+
+        roots = components(links.select(F.col("key").alias("u"), F.col("tied").alias("v")))
+        counted = links.groupBy("key").agg(F.sum("links").alias("links"))
+        told = copies.select("key", "first", "copies").join(counted, "key", "left").join(roots, F.col("key") == F.col("node"), "left")
+        told = told.select("key", F.coalesce("root", "key").alias("root"), "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        names = told.groupBy("root").agg(F.min("first").alias("least"))
+        told = materialised(told.join(names, "root").select(F.col("key").alias("_key"), F.col("root").alias("class_key"), F.col("least.id").alias("class_id"), "n_links"), "classes")
+        out = sketch.select("id", "ta", "tb", "key").join(small(told), F.col("key") == F.col("_key"), "left")
+        own = F.col("key").isNull()
+        out = out.select(
+            F.col("id").alias(id_col),
+            "ta",
+            "tb",
+            F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            "class_key",
+        )
+        return lasting(out, "near")
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of ``documents`` of each class, all columns: that of the smallest ``doc_id``. Texts without words all stay."""
-    found = materialised(near_duplicates(docs, settings=settings), "near")
+    """One row of ``documents`` of each class, all columns: that of the smallest ``doc_id``, of rows that repeat id and text any one.
+
+    Texts without words (null, empty, blank) all stay; a row without an id stays only where its class has no other; an empty table
+    gives no rows.
+    """
+    found = near_duplicates(docs, settings=settings)
     key = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "ta", "tb")
     spoken = found.where(F.col("class_key").isNotNull())
     kept = spoken.groupBy("class_key").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.ta").alias("_ta"), F.col("k.tb").alias("_tb"))

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 from llm_support import awkward, documents, empty, rows, with_clashes
@@ -87,10 +88,50 @@ def test_chains_are_one_class(spark):
     assert got == brute(docs) and {c for _, c, _ in got} == {0} and len({n for _, _, n in got}) > 1
 
 
-def test_depth_reaches_the_recall():
+def test_depths_reach_the_recall():
     s = ngram_join.Settings()
-    assert 1 - (1 - 0.8**s.depth) ** s.trees >= s.recall > 1 - (1 - 0.8 ** (s.depth + 1)) ** s.trees
-    assert ngram_join.Settings(recall=0.5).depth > s.depth
+    met = lambda similarity, depth: 1 - (1 - similarity**depth) ** s.trees
+    for similarity in (0.8, 0.85, 0.9):
+        depth = s.depth(similarity)
+        assert met(similarity, depth) >= s.recall and (depth == s.deepest or met(similarity, depth + 1) < s.recall)
+    assert s.stops[-1] == s.depth(0.8) and min(s.stops[1:]) == s.stops[-1] and max(s.stops) == s.deepest + 1
+    assert ngram_join.Settings(recall=0.5).depth(0.8) > s.depth(0.8)
+
+
+def test_least_links_by_size():
+    s = ngram_join.Settings()
+    for n in range(1, 41):
+        all_ = [Fraction(c, n + m - c) for m in range(1, 60) for c in range(0, min(n, m) + 1) if not c == n == m]
+        assert s.least_link(n) == min((x for x in all_ if x >= s.threshold), default=None)
+
+
+def test_matches_in_the_sorted_tries(spark):
+    rng = random.Random(2)
+    settings = ngram_join.Settings(trees=3, deepest=4)
+    rows = [(k, rng.choice([1, 2, 4]), [bytes(rng.choices([0, 1, 255], k=8)) for _ in range(3)]) for k in range(120)]
+    frame = spark.createDataFrame(rows, "key bigint, stop int, labels array<binary>")
+    values = lambda x: [x[i : i + 2] for i in range(0, 8, 2)]
+
+    def shared(a, b):
+        n = 0
+        while n < 4 and values(a)[n] == values(b)[n]:
+            n += 1
+        return n
+
+    want = set()
+    for k, stop, labels in rows:
+        for tree in range(3):
+            longest = max(shared(labels[tree], other[2][tree]) for other in rows if other[0] != k)
+            if longest >= stop:
+                want.add((k, tree, longest))
+    for partitions in ("1", "4", "40"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = [tuple(r) for r in ngram_join.matched(frame, settings).select("key", "tree", "match").collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_common_counts():

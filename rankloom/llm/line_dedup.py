@@ -1,16 +1,17 @@
 """Deletes later copies of repeated line runs.
 
-The texts' lines are sequences of line ids. Their suffix array is built by prefix doubling and held as its intervals: at depth
-1, 2, 4, ... every suffix carries the name of the interval of suffixes that share so many lines with it, and the name is the
-first of these suffixes in corpus order. One round pairs each suffix's name with the name a depth further on and gives equal
-pairs one name. Suffixes alone in their interval drop out, so the rounds shrink; how deep they must go depends on how many lines
-it takes to reach ``least`` words, not on how long the repeated runs are.
+The texts' lines are sequences of line ids, whose order is that of the lines' hashes. Their suffix array is built by prefix doubling:
+at depth 1, 2, 4, ... suffixes that share so many lines with another one have the rank of their interval, which is the place of its first
+suffix in the array of all that are left. One round pairs each suffix's rank with the rank a depth further on; the distinct pairs are
+sorted over range partitions, and sums of their counts, within partitions and over them, are the new ranks. An interval of two or
+more suffixes is one of a longest common prefix of at least the depth; suffixes alone in theirs drop out, so the rounds shrink. How
+deep they must go depends on how many lines it takes to reach ``least`` words, not on how long the repeated runs are.
 
 A run counts from ``least`` words on. All lines of all maximal repeated runs are covered by the shortest windows of that many
 words, those that begin at a line and those that end at one: within a run, a line with enough words up to it ends such a window,
 and any other line is in the one that begins with the run. So it is enough to find, for each such window, the interval of
-suffixes with a common prefix of its length (two overlapping intervals of a power of two say which), and to delete the window's
-lines if the interval's first suffix is another one.
+suffixes with a common prefix of its length (two overlapping intervals of a power of two say which), and to take the window
+if the interval's first suffix in corpus order is another one. Windows that overlap make up the maximal runs, which are deleted.
 
 Copies of a whole text are counted once before any of this: a group of copies of any size is one text.
 """
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import SPACE, materialised, packed_row, small, small_batches, text_of, unpacked
+from rankloom.llm.common import SPACE, materialised, packed_row, small, small_batches, step, text_of, unpacked
 
 
 #: Space and U+0009 to U+000D, one by one.
@@ -62,8 +64,29 @@ def _windows(least: int):
     return run
 
 
+def ranked(groups: DataFrame, by: list[str]) -> DataFrame:
+    """``groups`` (a row for each distinct value of ``by``, with ``n``) with ``rank``: the sum of ``n`` over all smaller values."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields)
+    at = groups.columns.index("n")
+
+    def run(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(at).to_numpy()
+            upto = np.cumsum(n) + before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - n, pa.int64()), pa.array(np.full(len(n), part, np.int32))], names=[*batch.schema.names, "rank", "part"])
+            before = int(upto[-1]) if len(upto) else before
+
+    rows = materialised(groups.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, f"{fields}, rank bigint, part int"), "ranked")
+    # as many rows as partitions
+    sizes = sorted((r["part"], r["size"]) for r in rows.groupBy("part").agg(F.sum("n").alias("size")).collect())
+    before = np.cumsum([0, *(size for _, size in sizes)]).tolist()
+    parts = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "_part int, _before bigint")
+    return rows.join(F.broadcast(parts), F.col("part") == F.col("_part")).select(*groups.columns, (F.col("rank") + F.col("_before")).alias("rank"))
+
+
 def _named(suffixes: DataFrame, as_: str) -> DataFrame:
-    return suffixes.select(*(F.col(c).alias(f"{as_}_{c}") for c in ("no", "doc", "t", "p")), F.col("name").alias(as_))
+    return suffixes.select(*(F.col(c).alias(f"{as_}_{c}") for c in ("no", "doc", "t", "p")), F.col("rank").alias(as_))
 
 
 def _at(as_: str, p: Column) -> Column:
@@ -74,7 +97,7 @@ def _at(as_: str, p: Column) -> Column:
 
 def later_copies(texts: DataFrame, least: int) -> DataFrame:
     """``no, doc, t, i, m``: windows of lines that are later copies. ``texts`` has ``no, doc, t, lines``, a row for each distinct text, in
-    the order of ``no, doc, t``."""
+    the order of ``no, doc, t``. Texts without lines or with too few words have no windows; no texts give none."""
     place = lambda p: F.struct("no", "doc", "t", F.col(p).cast("int").alias("p"))
     long = texts.where(F.aggregate("lines", F.lit(0), lambda n, x: n + x["n"]) >= least)
     windows = long.select("no", "doc", "t", F.transform("lines", lambda x: x["n"]).alias("counts")).mapInArrow(_windows(least), "no boolean, doc bigint, t bigint, i int, m int")
@@ -82,10 +105,10 @@ def later_copies(texts: DataFrame, least: int) -> DataFrame:
     deepest = windows.agg(F.max("m")).first()[0] or 0
 
     lines = long.select("no", "doc", "t", F.posexplode("lines").alias("p", "line")).select("no", "doc", "t", "p", "line.a", "line.b")
-    names = lines.groupBy("a", "b").agg(F.min(place("p")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    names = ranked(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["a", "b"])
     # written first: the join then has no sum in its stage, and a line of very many texts is split like any skewed key
-    names = small(materialised(names, "names"))
-    active = materialised(lines.join(names, ["a", "b"]).select("no", "doc", "t", "p", "name"), "suffixes")
+    names = small(materialised(names.select("a", "b", "rank"), "names"))
+    active = materialised(lines.join(names, ["a", "b"]).select("no", "doc", "t", "p", "rank"), "suffixes")
 
     found, depth = [], 1
     while depth <= deepest:
@@ -98,10 +121,11 @@ def later_copies(texts: DataFrame, least: int) -> DataFrame:
         found.append(met.join(first, ["x", "y", "m"]).where(F.col("first") < place("i")).select("no", "doc", "t", "i", "m"))
         if 2 * depth <= deepest:
             order = Window.partitionBy("no", "doc", "t").orderBy("p").rangeBetween(depth, depth)
-            pairs = active.withColumn("next", F.max("name").over(order)).where(F.col("next").isNotNull())
-            joint = pairs.groupBy("name", "next").agg(F.min(place("p")).alias("joint"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            joint = small(materialised(joint, "joint"))
-            active = materialised(pairs.join(joint, ["name", "next"]).select("no", "doc", "t", "p", F.col("joint").alias("name")), "suffixes")
+            pairs = active.withColumn("next", F.max("rank").over(order)).where(F.col("next").isNotNull())
+            joint = ranked(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rank").alias("left"), "next", "n"), ["left", "next"])
+            joint = small(materialised(joint.select("left", F.col("next").alias("right"), F.col("rank").alias("joint")), "joint"))
+            met = pairs.join(joint, (F.col("rank") == F.col("left")) & (F.col("next") == F.col("right")))
+            active = materialised(met.select("no", "doc", "t", "p", F.col("joint").alias("rank")), "suffixes")
         depth *= 2
     if not found:
         return windows.limit(0)
@@ -139,7 +163,8 @@ def cut(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     first = F.min(F.struct("no", "doc")).alias("first")
     texts = rows.groupBy("t", "u").agg(first, F.count(F.lit(1)).alias("copies"), F.any_value("lines").alias("lines"))
     texts = materialised(texts.select("first.no", "first.doc", "t", "u", "copies", "lines"), "texts")
-    gone = later_copies(texts, least).groupBy("no", "doc", "t").agg(F.collect_list(F.struct("i", "m")).alias("ranges"))
+    with step(docs.sparkSession) as lasting:
+        gone = lasting(later_copies(texts, least).groupBy("no", "doc", "t").agg(F.collect_list(F.struct("i", "m")).alias("ranges")), "gone")
     gone = gone.withColumnsRenamed({"no": "g_no", "doc": "g_doc", "t": "g_t"})
     long = F.aggregate("lines", F.lit(0), lambda n, x: n + x["n"]) >= least
     marked = texts.join(gone, (F.col("no") == F.col("g_no")) & F.col("doc").eqNullSafe(F.col("g_doc")) & (F.col("t") == F.col("g_t")), "left")
@@ -170,7 +195,10 @@ def deduplicated(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_
 
 
 def filtered(docs: DataFrame, least: int = 50) -> DataFrame:
-    """``documents`` after ``deduplicated``: documents that lost all their lines are gone, ``n_chars`` follows the text."""
+    """``documents`` after ``deduplicated``: documents that lost all their lines are gone, ``n_chars`` follows the text.
+
+    Null and empty texts lose nothing and stay; of repeated rows one stays, if the text has ``least`` words; an empty table gives no rows.
+    """
     out = cut(docs, least, "doc_id", "text").where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:

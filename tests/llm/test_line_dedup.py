@@ -75,3 +75,20 @@ def test_awkward_rows(spark):
 def test_plan_has_no_cross_join(spark):
     plan = line_dedup.deduplicated(documents(spark, [PROSE] * 3), 50)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ranks_are_places_in_the_suffix_array(spark):
+    rows = [((i * 7) % 50, i % 3, 1 + i % 4) for i in range(50)]
+    frame = spark.createDataFrame(rows, "a bigint, b bigint, n bigint")
+    before, want = 0, {}
+    for a, b, n in sorted(rows):
+        want[(a, b)] = before
+        before += n
+    for partitions in ("1", "4", "40"):
+        held = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            assert {(r["a"], r["b"]): r["rank"] for r in line_dedup.ranked(frame, ["a", "b"]).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert line_dedup.ranked(frame.limit(0), ["a", "b"]).count() == 0

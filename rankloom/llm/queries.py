@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -101,22 +102,36 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from verdicts
 """
 
-#: The five given rules, and words for which no rule of a site decides.
+#: The five given rules, and a list for what no rule of a site decides.
 URL_RULES = [
     url_filter.site_rule("block", "com", "/en/"),
     url_filter.site_rule("allow", "example.com", "/en/7"),
     url_filter.site_rule("block", "net", "/de/"),
     url_filter.site_rule("block", "example.net", "/de/8"),
     url_filter.site_rule("block", "org", "/es/"),
-    *(url_filter.word_rule("block", w) for w in ("casino", "porn", "viagra", "warez", "xxx")),
+    *url_filter.own_rules(),
 ]
 
 
+def listed(action: str) -> str:
+    """The list's rules of one action as one expression for SQL."""
+
+    def one(line: str) -> str:
+        text = line.removeprefix("@@")
+        begin = r"^([^/]*\.)?" if text.startswith("||") else "^" if text.startswith("|") else ""
+        body = re.sub(r"[.+?(){}\[\]\\]", r"\\\g<0>", text.strip("|"))
+        if body.startswith("^") and not begin:
+            begin, body = r"(^|[^A-Za-z0-9_%])", body[1:]
+        return begin + body.replace("*", "(?s:.*)").replace("^", r"([^A-Za-z0-9_.%\-]|$)") + ("$" if text.endswith("|") else "")
+
+    return "|".join(one(r.name) for r in url_filter.own_rules() if r.action == action)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
-OP5_SQL = r"""
+OP5_SQL = rf"""
 with parts as (
   select page_id, case when strpos(url, '://') > 0 then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') else '' end as rest from pages
 ), split as (
@@ -131,7 +146,7 @@ with parts as (
   group by s.page_id, s.host, s.path
 )
 select s.page_id, s.host, s.path, hit.r as rule,
-  coalesce(hit.a, case when regexp_matches(s.host || s.path, '(^|[^A-Za-z0-9])(casino|porn|viagra|warez|xxx)($|[^A-Za-z0-9])') then 'block' else 'allow' end) as verdict
+  coalesce(hit.a, case when regexp_matches(s.host || s.path, '{listed("allow")}') then 'allow' when regexp_matches(s.host || s.path, '{listed("block")}') then 'block' else 'allow' end) as verdict
 from split s left join best b on s.page_id is not distinct from b.page_id and s.host = b.host and s.path = b.path
 """
 

@@ -8,31 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import line_dedup, ngram_join, packing, quality_rules, toxicity
-from rankloom.llm.common import materialised
+from rankloom.llm.common import drop, step
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.7."""
+    """Documents that score under 0.7; null texts are scored as empty ones, repeated rows share a fate, no documents give none."""
     return toxicity.filtered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines above the limits."""
+    """Documents that pass the quality rules, without the lines above the limits.
+
+    Null and empty texts fail for want of words; a null source is a source of its own; repeated rows share a fate.
+    """
     return quality_rules.filtered(docs)
 
 
 def without_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs of 50 words and more."""
+    """Documents without later copies of line runs of 50 words and more; those that lose all their lines are gone.
+
+    The order is that of ids, rows without one last; of repeated rows one keeps its lines; null and empty texts stay.
+    """
     return line_dedup.filtered(docs, least=50)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the smallest id; null, empty and blank texts are copies of none."""
     return ngram_join.one_of_each(docs, ngram_join.Settings(width=5, threshold=Fraction(4, 5)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; a null text is an empty one, repeated rows are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
@@ -49,8 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each one's rows are written as Parquet and read again by the next.
+
+    What a stage writes on its way goes when its rows are written, and those when the next stage's are.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), name)
+        with step(spark) as lasting:
+            docs = lasting(stage(spark, docs, sf_dir), name)
+        if before:
+            drop(spark, before)
+        before = docs.inputFiles()[0].rpartition("/")[0] if docs.inputFiles() else None
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -51,7 +51,7 @@ def step(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]
     outer = work_dir(spark)
     token = _STEPS.set((*_STEPS.get(), f"{outer}/step-{uuid.uuid4().hex}"))
     try:
-        yield lambda df, name: _written(df, f"{outer}/{name}-{uuid.uuid4().hex}")
+        yield lambda df, name: written(df, f"{outer}/{name}-{uuid.uuid4().hex}")
     finally:
         drop(spark, work_dir(spark))
         _STEPS.reset(token)
@@ -90,14 +90,15 @@ def unpacked(df: DataFrame, changed: dict[str, Column], without: tuple[str, ...]
     return [(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in df.columns if c not in without]
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
-    return _written(df, f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return written(df, f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
 def forget(spark: SparkSession) -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import line_dedup, ngram_join, packing, quality_rules, toxicity
-from rankloom.llm.common import drop, step
+from rankloom.llm.common import drop, step, work_dir, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +60,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage writes on its way goes when its rows are written, and those when the next stage's are.
     """
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        with step(spark) as lasting:
-            docs = lasting(stage(spark, docs, sf_dir), name)
+        with step(spark):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
         if before:
-            drop(spark, before)
-        before = docs.inputFiles()[0].rpartition("/")[0] if docs.inputFiles() else None
+            drop(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -82,7 +82,7 @@ def trained(samples: list[bytes], size: int, segment: int) -> tuple[bytes, bytes
 def compressor(header: bytes, content: bytes) -> Callable[[bytes], bytes]:
     """Compresses with a dictionary, by the parser that looks for the shortest result, matches of three bytes included."""
     options = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_BTOPT, min_match=3, search_log=5, window_log=17, chain_log=17, hash_log=17, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
+        strategy=zstandard.STRATEGY_BTOPT, min_match=3, search_log=4, window_log=17, chain_log=17, hash_log=17, target_length=16, write_content_size=False, write_dict_id=False, write_checksum=False
     )
     if len(content) < 8:
         return zstandard.ZstdCompressor(compression_params=options).compress

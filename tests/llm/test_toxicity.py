@@ -94,7 +94,7 @@ def plain_score(model, text):
     """The score of a text, step by step."""
     d = model.dictionaries
     options = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_BTOPT, min_match=3, search_log=5, window_log=17, chain_log=17, hash_log=17, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False
+        strategy=zstandard.STRATEGY_BTOPT, min_match=3, search_log=4, window_log=17, chain_log=17, hash_log=17, target_length=16, write_content_size=False, write_dict_id=False, write_checksum=False
     )
 
     def size(content, data):

@@ -41,7 +41,7 @@ class Reranker:
         if self.scorer is None:
             raise ModelError("the model is unloaded")
         if not query:
-            raise InferenceError("Empty query")
+            raise InferenceError("a query without text")
         return self.spark.createDataFrame([("q", query, i, d) for i, d in enumerate(documents)], CANDIDATE)
 
     def rerank(self, query: str, documents: Sequence[str], top_k: int | None = None, return_documents: bool = False) -> list[Result]:
@@ -60,7 +60,7 @@ class Reranker:
         given = self.spark.createDataFrame([("q", i, float(s)) for i, s in enumerate(lexical_scores)], "qid string, idx int, score double")
         scored = self.scorer.score(self._candidates(query, documents))
         fused = fusion.hybrid(fusion.as_list(given, 0, doc="idx"), fusion.as_list(scored, 1, doc="idx"), alpha)
-        return [Result(r["doc_id"], r["score"]) for r in fused.orderBy(F.desc("score"), "doc_id").collect()]
+        return [Result(r["doc_id"], r["score"]) for r in fused.orderBy("rank").collect()]
 
     def unload(self) -> None:
         self.scorer = None

@@ -1,4 +1,4 @@
-"""Command line: ``python -m rankloom.cli models list|inspect|delete``, ``evaluate``, ``workload``."""
+"""Command line: ``python -m rankloom.cli models list|inspect|delete``, ``evaluate``, ``latency``."""
 
 from __future__ import annotations
 

@@ -69,7 +69,7 @@ def snapshot(root: Path, model_id: str) -> Path:
     """The newest snapshot of a cached model."""
     folder = root / cache_folder(model_id) / "snapshots"
     if not folder.is_dir():
-        raise CacheError(f"{model_id} is not cached, or its cache is corrupted: no snapshots")
+        raise CacheError(f"{model_id} is not cached: it has no folder of snapshots")
     found = [p for p in folder.iterdir() if p.is_dir()]
     if not found:
         raise CacheError(f"{model_id} has no snapshot")

@@ -88,3 +88,20 @@ def statuses(found: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame
         .otherwise("Stable")
     )
     return rows.withColumn("status", status).select("model", "n", F.when(F.col("n") >= config.warm_up, F.col("kl")).alias("kl"), "status", "alerts")
+
+
+def summary(checked: DataFrame, rows: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
+    """``model, baseline_established, samples, warm_up_left, alerts, kl, threshold``: where each model of ``rows`` (``model, n``) stands, by its
+    last look in ``checked``; ``alerts`` is 0 and ``kl`` null before the first."""
+    seen = rows.groupBy("model").agg(F.max("n").alias("samples"))
+    last = checked.groupBy("model").agg(F.max_by(F.struct("alerts", "kl"), "n").alias("look"))
+    ready = F.col("samples") >= config.warm_up
+    return seen.join(last, "model", "left").select(
+        "model",
+        ready.alias("baseline_established"),
+        "samples",
+        F.greatest(F.lit(config.warm_up) - F.col("samples"), F.lit(0)).alias("warm_up_left"),
+        F.coalesce("look.alerts", F.lit(0)).alias("alerts"),
+        F.when(ready, F.col("look.kl")).alias("kl"),
+        F.lit(config.threshold).alias("threshold"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.columns import md5_bucket
 from rankloom.session import broadcast_if, is_small
 
 
@@ -44,18 +45,37 @@ def macro_mean(per_query: DataFrame, queries: DataFrame | None = None) -> DataFr
     return rows.agg(*(F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0)).alias(c) for c in values), F.count(F.lit(1)).alias("n_queries"))
 
 
+def hash_order(corpus: DataFrame, seed: int) -> DataFrame:
+    """``doc_id, pos``: the places of the corpus's documents, from 0 on, in the order of a seeded hash.
+
+    The hash's first digits deal the documents evenly into 65,536 groups; a group's place is the sum of the sizes before it.
+    """
+    hashed = corpus.select("doc_id", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id"))).alias("h")).withColumn("group", F.substring("h", 1, 4))
+    sizes = hashed.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("group").alias("_group"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("group").orderBy("h", "doc_id"))
+    placed = hashed.withColumn("nth", nth).join(F.broadcast(starts), F.col("group") == F.col("_group"))
+    return placed.select("doc_id", (F.col("start") + F.col("nth") - 1).alias("pos"))
+
+
 def sampled_negatives(queries: DataFrame, corpus: DataFrame, judged: DataFrame, top: int, seed: int = 42) -> DataFrame:
-    """``qid, doc_id, rel, idx``: each query's judged documents, then unjudged ones up to ``top`` candidates, in the order of a seeded hash.
+    """``qid, doc_id, rel, idx``: each query's judged documents, then unjudged ones up to ``top`` candidates.
 
-    Judged documents come first, so they win ties. A document judged irrelevant is no negative. The pairs with the corpus are cut to
-    ``top`` a query as they are made, in each task.
+    The negatives of a query are those that follow its own place in the corpus's ``hash_order``, round to the beginning. As many are
+    drawn as could be needed if all judged ones were among them, so no query meets the whole corpus. Judged documents come first, so they
+    win ties. A document judged irrelevant is no negative.
     """
     known = judged.join(corpus.select("doc_id"), "doc_id", "left_semi")
     by_doc = Window.partitionBy("qid").orderBy("doc_id")
     first = known.select("qid", "doc_id", "rel", (F.row_number().over(by_doc) - 1).alias("idx"))
-    have = first.groupBy("qid").agg(F.count(F.lit(1)).alias("have"))
-    pool = corpus.select("doc_id").join(broadcast_if(is_small(queries), queries.select("qid"))).join(judged.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    order = Window.partitionBy("qid").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid"), F.col("doc_id"))), "doc_id")
-    drawn = pool.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).join(have, "qid", "left")
-    rest = drawn.withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("n") <= F.lit(top) - F.col("have"))
+    have = queries.select("qid").join(first.groupBy("qid").agg(F.count(F.lit(1)).alias("have")), "qid", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    total = corpus.count()
+    if not total:
+        return first
+    start = F.pmod(md5_bucket(F.concat_ws("|", F.lit(str(seed)), F.col("qid")), 2**31), F.lit(total))
+    turns = F.explode(F.sequence(F.lit(0), F.least(F.lit(top) + F.col("have"), F.lit(total)) - 1))
+    asked = have.select("qid", "have", start.alias("start"), turns.alias("turn")).withColumn("pos", F.pmod(F.col("start") + F.col("turn"), F.lit(total)))
+    drawn = hash_order(corpus, seed).join(broadcast_if(is_small(asked), asked), "pos").join(judged.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    rest = drawn.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("turn"))).where(F.col("n") <= F.lit(top) - F.col("have"))
     return first.unionByName(rest.select("qid", "doc_id", F.lit(0).cast(judged.schema["rel"].dataType).alias("rel"), (F.col("have") + F.col("n") - 1).cast("int").alias("idx")))

@@ -13,13 +13,13 @@ def requests_to_candidates(requests: DataFrame) -> DataFrame:
 
     An empty query is an error, also where there are no documents; a request without documents gives no rows.
     """
-    checked = requests.withColumn("query", F.when(F.coalesce("query", F.lit("")) == "", F.raise_error(F.lit("inference error: Empty query"))).otherwise(F.col("query")))
+    checked = requests.withColumn("query", F.when(F.coalesce("query", F.lit("")) == "", F.raise_error(F.lit("inference error: a query without text"))).otherwise(F.col("query")))
     return checked.select("qid", "query", F.posexplode("documents").alias("idx", "doc"), "top_k", "return_documents")
 
 
-def best_first(score: Column) -> list[Column]:
-    """Descending by score, NaN and null last, equal scores in input order."""
-    return [F.isnan(score).asc_nulls_last(), score.desc_nulls_last(), F.col("idx").asc()]
+def best_first(score: Column, tie: str = "idx") -> list[Column]:
+    """Descending by score, NaN and null last, equal scores by ``tie``, the input order unless another column is named."""
+    return [F.isnan(score).asc_nulls_last(), score.desc_nulls_last(), F.col(tie).asc()]
 
 
 def ranked(scored: DataFrame, keys: Sequence[str] = ("qid",), score: str = "score") -> DataFrame:

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from rankloom.config import BatchConfig, CanaryConfig
 
@@ -61,6 +62,11 @@ def remaining(c: Canary, now: float, config: CanaryConfig) -> float:
     return max(0.0, config.observation_seconds - (now - c.since)) if c.state == "Active" else 0.0
 
 
+def within_tolerance(latency: Column, baseline: Column, config: CanaryConfig = CanaryConfig()) -> Column:
+    """Whether a canary's latency is at most the baseline's times the tolerance; so without a baseline."""
+    return F.coalesce(latency <= baseline * config.tolerance, F.lit(True))
+
+
 def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], step: Callable, schema: str) -> DataFrame:
     """A row for each of ``rows``: key, then what ``step(state, *values of columns)`` returns after the new state; state starts as None."""
     kind = rows.schema[key].dataType.simpleString()
@@ -103,6 +109,22 @@ def canary_course(ticks: DataFrame, config: CanaryConfig = CanaryConfig()) -> Da
     return folded(ticks, "canary", ["tick"], ["tick", "at", "drift", "latency_ok", "command"], step, "tick bigint, action string, state string, stage int, percent int")
 
 
+def canary_status(ticks: DataFrame, config: CanaryConfig = CanaryConfig()) -> DataFrame:
+    """``canary, state, stage, percent, elapsed, remaining, tolerance`` of each canary after its last tick (of ``ticks``, as for
+    ``canary_course``): seconds that its stage has lasted at that tick and still has to last."""
+    course = canary_course(ticks, config)
+    turns = course.where(F.col("action").startswith("Advance")).groupBy("canary").agg(F.max("tick").alias("turn"))
+    ends = course.groupBy("canary").agg(F.max("tick").alias("tick"), F.max_by(F.struct("state", "stage", "percent"), "tick").alias("last"))
+    times = ticks.select(F.col("canary").alias("_c"), F.col("tick").alias("_t"), "at")
+    begun = ticks.groupBy("canary").agg(F.min_by("at", "tick").alias("first"))
+    found = ends.join(turns, "canary", "left").join(begun, "canary")
+    found = found.join(times, (F.col("canary") == F.col("_c")) & (F.col("tick") == F.col("_t"))).drop("_c", "_t").withColumnRenamed("at", "now")
+    found = found.join(times, (F.col("canary") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    elapsed = F.col("now") - F.coalesce("at", "first")
+    left = F.when(F.col("last.state") == "Active", F.greatest(F.lit(0.0), F.lit(config.observation_seconds) - elapsed)).otherwise(0.0)
+    return found.select("canary", "last.state", "last.stage", "last.percent", elapsed.alias("elapsed"), left.alias("remaining"), F.lit(config.tolerance).alias("tolerance"))
+
+
 def batches(arrivals: DataFrame, config: BatchConfig = BatchConfig()) -> DataFrame:
     """``stream, request_id, batch_id, place`` for ``arrivals`` (``stream, request_id, at`` in seconds).
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from rankloom.config import BatchConfig, CanaryConfig, CascadeConfig, DriftConfig, FusionConfig
 from rankloom.functions import columns as C
-from rankloom.operators import calibration, cascade, drift, evaluation, experiment, fusion, rank, retrieval, rollout, scorers, statistics
-from rankloom.session import broadcast_if, table
+from rankloom.operators import calibration, cascade, drift, evaluation, experiment, fusion, matching, rank, retrieval, rollout, scorers, statistics
+from rankloom.session import table, work_dir
 from rankloom.sources.registry import requests_from_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,15 +36,10 @@ def query(sql: str):
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, doc_id, inter, nq, nd``: each query with the documents that share a token with it.
 
-    Documents are exploded to tokens where they lie and meet the broadcast tokens of queries; what is shuffled is counts by pair.
+    All of a document's tokens lie in one row, so its pairs are counted in its own task.
     """
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    sized = q.select("qid", F.size(C.tokens(F.col("query"))).alias("nq"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", C.tokens(F.col("text")).alias("words"))
-    words = docs.select("doc_id", F.size("words").alias("nd"), F.explode("words").alias("token"))
-    asked, few = retrieval.query_tokens(q)
-    met = words.join(broadcast_if(few, asked), "token").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("inter"), F.first("nd").alias("nd"))
-    return met.join(broadcast_if(few, sized), "qid")
+    q, docs = bm25_inputs(spark, sf_dir)
+    return retrieval.overlaps(q, docs)
 
 
 #: Scores over ``pairs``: a logit of the share of the query's tokens, and the Jaccard similarity of the token sets.
@@ -200,7 +195,7 @@ b as (select * from (select qid, doc_id, jaccard as score, row_number() over (pa
 
 
 def two_lists(spark, sf_dir):
-    base = pairs(spark, sf_dir)
+    base = pairs(spark, sf_dir)  # the best of each list are cut where pairs are made; two lists are two passes over the corpus
     return [fusion.as_list(s.score(base), i).where(F.col("rank0") < 50) for i, s in enumerate((OVERLAP, JACCARD))]
 
 
@@ -213,22 +208,28 @@ select qid, doc_id, round(sum(part), 9) as score from (
 
 @query(_fused(1, 1))
 def rrf_two_lists(spark, sf_dir):
-    return fusion.reciprocal_rank_fusion(two_lists(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return fusion.reciprocal_rank_fusion(two_lists(spark, sf_dir)).select("qid", "doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""select qid, doc_id, score, cast(row_number() over (partition by qid order by score desc, doc_id) as integer) as rank from ({_fused(1, 1)})""")
+def rrf_ranked(spark, sf_dir):
+    fused = fusion.reciprocal_rank_fusion(two_lists(spark, sf_dir))
+    return fused.select("qid", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(_fused(0.3, 0.7))
 def rrf_weighted(spark, sf_dir):
-    return fusion.reciprocal_rank_fusion(two_lists(spark, sf_dir), FusionConfig(60.0, (0.3, 0.7))).withColumn("score", F.round("score", 9))
+    return fusion.reciprocal_rank_fusion(two_lists(spark, sf_dir), FusionConfig(60.0, (0.3, 0.7))).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"with {LISTS} select qid, doc_id, round(score, 9) as score from a")
 def rrf_single_list(spark, sf_dir):
-    return fusion.reciprocal_rank_fusion(two_lists(spark, sf_dir)[:1]).withColumn("score", F.round("score", 9))
+    return fusion.reciprocal_rank_fusion(two_lists(spark, sf_dir)[:1]).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query(_fused(0.75, 0.25))
 def hybrid_alpha(spark, sf_dir):
-    return fusion.hybrid(*two_lists(spark, sf_dir), alpha=0.25).withColumn("score", F.round("score", 9))
+    return fusion.hybrid(*two_lists(spark, sf_dir), alpha=0.25).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
 # --- cascade ---
@@ -296,55 +297,55 @@ def two_stage(spark, sf_dir):
 # --- vectors ---
 
 
+#: Queries of a vector search that one pass takes; more of them go in blocks.
+VECTOR_BLOCK = 20_000
+
+
+def in_query_blocks(queries, search):
+    """``search`` for each block of ``queries`` (``qid, ...``), which tasks can hold; the blocks' rows together."""
+    blocks = max(1, -(-queries.count() // VECTOR_BLOCK))
+    out = None
+    for i in range(blocks):
+        part = search(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow())
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("""with v as (select vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings),
-s as (select q.vec_id as qid, d.vec_id as doc_id, round(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end, 9) as score from v q, v d where q.vec_id < 10)
+s as (select q.vec_id as qid, d.vec_id as doc_id, round(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end, 9) as score from v q, v d where q.vec_id % 20 = 0)
 select qid, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from s) where rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", C.norm(F.col("embedding")).alias("n"))
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("n").alias("qn"))
-    met = v.join(F.broadcast(q)).withColumn("score", F.round(C.cosine_of(F.col("q"), F.col("embedding"), F.col("qn"), F.col("n")), 9)).withColumn("idx", F.col("vec_id"))
-    return rank.top_k(met, 10).select("qid", F.col("vec_id").alias("doc_id"), "score", "rank")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector")
+    near = in_query_blocks(asked, lambda q: matching.nearest_by_cosine(v, q, 10))
+    return rank.top_k(near.withColumn("idx", F.col("doc_id")), 10).select("qid", "doc_id", "score", "rank")
 
 
 @query("""with v as (select vec_id // 8 as owner, vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings),
 best as (
   select q.owner as qid, d.owner as doc_id, q.vec_id, max(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end) as c
-  from v q, v d where q.owner < 5 group by q.owner, d.owner, q.vec_id
+  from v q, v d where q.owner % 20 = 0 group by q.owner, d.owner, q.vec_id
 )
 select qid, doc_id, round(1 / (1 + exp(-sum(c))), 9) as score from best group by qid, doc_id""")
 def maxsim(spark, sf_dir):
     tokens = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 8").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
-    docs = tokens.select(F.col("owner").alias("doc_id"), F.col("t.embedding").alias("doc_vectors"))
-    q = docs.where("doc_id < 5").select(F.col("doc_id").alias("qid"), F.col("doc_vectors").alias("query_vectors"))
-    return scorers.LateInteractionScorer().score(docs.join(F.broadcast(q))).select("qid", "doc_id", F.round("score", 9).alias("score"))
-
-
-def all_to_meet(q):
-    """``q`` with a broadcast hint up to 100,000 rows; beyond that a cross join goes by blocks of partitions."""
-    return F.broadcast(q) if q.count() <= 100_000 else q
-
-
-@query("""with v as (select vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings),
-s as (select q.vec_id as qid, d.vec_id as doc_id, round(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end, 9) as score from v q, v d where q.vec_id % 20 = 0)
-select qid, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from s) where rank <= 10""")
-def cosine_topk_whole(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", C.norm(F.col("embedding")).alias("n"))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("n").alias("qn"))
-    met = v.crossJoin(all_to_meet(q)).withColumn("score", F.round(C.cosine_of(F.col("q"), F.col("embedding"), F.col("qn"), F.col("n")), 9)).withColumn("idx", F.col("vec_id"))
-    return rank.top_k(met, 10).select("qid", F.col("vec_id").alias("doc_id"), "score", "rank")
+    docs = tokens.select(F.col("owner").alias("doc_id"), F.col("t.embedding").alias("vectors"))
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vectors")
+    summed = in_query_blocks(asked, lambda q: matching.late_interaction(docs, q))
+    return summed.select("qid", "doc_id", F.round(C.sigmoid(F.col("score")), 9).alias("score"))
 
 
 @query("""with v as (select vec_id // 8 as owner, vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings),
 best as (
-  select q.owner as qid, d.owner as doc_id, q.vec_id, max(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end) as c
-  from v q, v d where q.owner % 20 = 0 group by q.owner, d.owner, q.vec_id
+  select q.owner as qid, q.vec_id, max(case when q.n * d.n = 0 then 0 else list_inner_product(q.e, d.e) / (q.n * d.n) end) as c from v q join v d on d.owner = q.owner + 1 group by q.owner, q.vec_id
 )
-select qid, doc_id, round(1 / (1 + exp(-sum(c))), 9) as score from best group by qid, doc_id""")
-def maxsim_whole(spark, sf_dir):
+select qid, qid + 1 as doc_id, round(1 / (1 + exp(-sum(c))), 9) as score from best group by qid""")
+def maxsim_pairs(spark, sf_dir):
+    """Pairs that are given: each owner with the next."""
     tokens = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 8").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
+    q = tokens.select(F.col("owner").alias("qid"), F.col("t.embedding").alias("query_vectors"), (F.col("owner") + 1).alias("doc_id"))
     docs = tokens.select(F.col("owner").alias("doc_id"), F.col("t.embedding").alias("doc_vectors"))
-    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("doc_vectors").alias("query_vectors"))
-    return scorers.LateInteractionScorer().score(docs.crossJoin(all_to_meet(q))).select("qid", "doc_id", F.round("score", 9).alias("score"))
+    return scorers.LateInteractionScorer().score(q.join(docs, "doc_id")).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
 # --- evaluation ---
@@ -363,9 +364,10 @@ def judged_queries(spark, sf_dir):
 
 @query(f"""with {JUDGED},
 have as (select qid, count(*) as have from judged group by qid),
+placed as (select doc_id, row_number() over (order by md5('42|' || doc_id), doc_id) - 1 as pos, count(*) over () as total from documents),
+drawn as (select h.qid, have, doc_id, (pos - {bucket("'42|' || qid", 2**31)} % total + total) % total as turn from have h, placed),
 pool as (
-  select h.qid, d.doc_id, have, row_number() over (partition by h.qid order by md5('42|' || h.qid || '|' || d.doc_id), d.doc_id) as n
-  from have h, documents d where not exists (select 1 from judged j where j.qid = h.qid and j.doc_id = d.doc_id)
+  select qid, doc_id, have, row_number() over (partition by qid order by turn) as n from drawn d where not exists (select 1 from judged j where j.qid = d.qid and j.doc_id = d.doc_id)
 )
 select qid, doc_id, rel, cast(row_number() over (partition by qid order by doc_id) - 1 as integer) as idx from judged
 union all select qid, doc_id, 0, cast(have + n - 1 as integer) from pool where n <= 20 - have""")

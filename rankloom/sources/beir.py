@@ -43,14 +43,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def read_judgments(spark: SparkSession, path: str, header: str = "always") -> DataFrame:
     """``qid, doc_id, rel``. Lines are trimmed, those of fewer than three fields passed over, grades that are no number of 0 to 255 are 0.
 
-    ``header``: ``always`` drops each file's first line, ``named`` any line that begins with "query".
+    ``header``: ``always`` drops each file's first line, ``named`` drops it if it begins with "query".
     """
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    if header == "named":
-        lines = lines.where(~F.col("line").startswith("query"))
-    else:
-        first = lines.where(F.col("block") == 0).groupBy(F.col("file").alias("f")).agg(F.min("at").alias("first"))
-        lines = lines.join(F.broadcast(first), F.col("file") == F.col("f"), "left").where(F.col("first").isNull() | (F.col("at") != F.col("first")))
+    # as many rows as files
+    first = lines.where(F.col("block") == 0).groupBy(F.col("file").alias("f")).agg(F.min("at").alias("first"))
+    lines = lines.join(F.broadcast(first), F.col("file") == F.col("f"), "left")
+    heads = F.coalesce(F.col("at") == F.col("first"), F.lit(False))
+    lines = lines.where(~(heads & F.col("line").startswith("query")) if header == "named" else ~heads)
     parts = lines.select(F.split("line", "\t").alias("p"), "at").where(F.size("p") >= 3)
     rows = parts.select(F.trim(F.col("p")[0]).alias("qid"), F.trim(F.col("p")[1]).alias("doc_id"), graded(F.col("p")[2]).alias("rel"), "at")
     return last_judgment(rows, "at")

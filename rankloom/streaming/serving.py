@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.columns import hash_variant
@@ -13,19 +14,28 @@ from rankloom.sources.registry import requests_from_json
 
 
 def answered(requests: DataFrame, scorer) -> DataFrame:
-    """``qid, response`` for valid requests; one with an empty query or without a document gets an error or an empty result of its own."""
+    """``qid, response, is_error`` for valid requests; one with an empty query, without a document, or with a document that the scorer could
+    not score (its column ``error``) gets an error or an empty result of its own."""
     fine = requests.where(F.coalesce("query", F.lit("")) != "")
-    results = top_k(scorer.score(requests_to_candidates(fine)), "top_k")
+    scored = scorer.score(requests_to_candidates(fine))
+    failed = F.col("error") if "error" in scored.columns else F.lit(None).cast("string")
+    scored = scored.withColumn("error", F.min(failed).over(Window.partitionBy("qid")))
+    results = top_k(scored.where(F.col("error").isNull()), "top_k")
     shown = results.withColumn("document", F.when(F.col("return_documents"), F.col("doc")))
     told = responses(shown.select("qid", "idx", "score", "rank", "document"))
-    text = F.when(F.coalesce("query", F.lit("")) == "", F.lit('{"error":"inference error: Empty query"}')).otherwise(F.coalesce("response", F.lit('{"results":[]}')))
-    return requests.select("qid", "query").join(told, "qid", "left").select("qid", text.alias("response"))
+    broken = scored.where(F.col("error").isNotNull()).groupBy(F.col("qid").alias("_qid")).agg(F.min("error").alias("error"))
+    asked = requests.select("qid", "query").join(told, "qid", "left").join(broken, F.col("qid") == F.col("_qid"), "left")
+    error = F.when(F.coalesce("query", F.lit("")) == "", "inference error: a query without text").otherwise(F.col("error"))
+    text = F.when(error.isNotNull(), F.to_json(F.struct(error.alias("error")))).otherwise(F.coalesce("response", F.lit('{"results":[]}')))
+    return asked.select("qid", text.alias("response"), error.isNotNull().alias("is_error"))
 
 
 def serve(lines: DataFrame, scorers: Mapping[str, object], weights: tuple[int, int], sink: Callable[[DataFrame, int], None]):
     """A writer for a stream of JSON requests: each micro-batch is routed to variant ``a`` or ``b`` by its ids and scored by that one's scorer.
 
-    ``sink`` gets a frame ``qid, response, variant`` and the batch's number; a batch that is replayed has the same number.
+    ``sink`` gets a frame ``qid, response, is_error, variant, latency_ms`` and the batch's number; a batch that is replayed has the same
+    number. A request's latency is the time its micro-batch took, which is when its answer is there; ``variant_metrics`` and
+    ``server_metrics`` take such rows.
     """
     requests = requests_from_json(lines)
 
@@ -35,6 +45,10 @@ def serve(lines: DataFrame, scorers: Mapping[str, object], weights: tuple[int, i
         out = parts[0]
         for more in parts[1:]:
             out = out.unionByName(more)
-        sink(out, number)
+        out = out.persist()
+        began = time.monotonic()
+        out.count()
+        sink(out.withColumn("latency_ms", F.lit((time.monotonic() - began) * 1000.0)), number)
+        out.unpersist()
 
     return requests.writeStream.foreachBatch(handle)

@@ -103,7 +103,7 @@ def test_reranker(spark):
     assert r.rerank("red fox", []) == [] and r.rerank("red fox", docs, 0) == []
     hybrid = r.rerank_hybrid("red fox", docs, [9.0, 1.0, 0.0], alpha=0.25)
     assert [x.index for x in hybrid] == [0, 1, 2] and hybrid[0].score == pytest.approx(0.75 / 61 + 0.25 / 63)
-    with pytest.raises(errors.InferenceError, match="Empty query"):
+    with pytest.raises(errors.InferenceError, match="a query without text"):
         r.rerank("", docs)
     with pytest.raises(errors.InferenceError):
         r.rerank_hybrid("x", docs, [1.0])

@@ -76,7 +76,7 @@ def test_serving(spark, tmp_path):
     writer = serving.serve(stream, {"a": scorer, "b": scorer}, (1, 1), lambda frame, _: got.update({r["qid"]: (json.loads(r["response"]), r["variant"]) for r in frame.collect()}))
     writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert [(r["index"], r["document"]) for r in got["1"][0]["results"]] == [(1, "red fox"), (0, "blue fox")]
-    assert "Empty query" in got["2"][0]["error"] and got["3"][0] == {"results": []}
+    assert "a query without text" in got["2"][0]["error"] and got["3"][0] == {"results": []}
     assert {v for _, v in got.values()} <= {"a", "b"}
 
 

@@ -17,7 +17,7 @@ from rankloom.sources import beir, registry
 def _models(args) -> int:
     root = args.cache or str(names.cache_root())
     if args.action == "delete":
-        registry.delete_model(root, args.model_id)
+        registry.delete_model(local_session(cpus=2), root, args.model_id)
         print(f"deleted {args.model_id}")
         return 0
     found = registry.cached_models(local_session(cpus=2), root).orderBy("model_id")

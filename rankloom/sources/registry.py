@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-from pathlib import Path
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,32 +18,47 @@ REQUIRED = ("model_id", "source_url", "sha256", "download_date", "file_size_byte
 REQUEST = "qid STRING, query STRING, documents ARRAY<STRING>, top_k INT, return_documents BOOLEAN"
 
 
+def _placed(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop objects: local or shared alike."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, from the driver."""
+    p, fs = _placed(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def snapshot_folder(root: str, model_id: str, revision: str) -> str:
+    return f"{root}/{cache_folder(model_id)}/snapshots/{revision}"
+
+
 def cached_models(spark: SparkSession, root: str) -> DataFrame:
     """Metadata of all cached snapshots; files that are no valid JSON or lack a required field are passed over."""
-    folders = [str(p) for p in Path(root).glob("models--*/snapshots/*/*cache.json")]
-    if not folders:
+    pattern, fs = _placed(spark, f"{root}/models--*/snapshots/*/*cache.json")
+    if not fs.globStatus(pattern):
         return spark.createDataFrame([], METADATA)
-    rows = spark.read.schema(METADATA).option("mode", "DROPMALFORMED").option("multiLine", True).json(folders)
+    rows = spark.read.schema(METADATA).option("mode", "DROPMALFORMED").option("multiLine", True).json(pattern.toString())
     return rows.dropna(subset=list(REQUIRED))
 
 
 def write_metadata(spark: SparkSession, folder: str, **fields) -> None:
     """A snapshot's metadata file; absent fields are left out."""
-    import json
-
     known = [f.split()[0] for f in METADATA.split(", ")]
     if unknown := set(fields) - set(known):
         raise CacheError(f"unknown fields {sorted(unknown)}")
     fields = {"download_date": epoch_text()} | fields
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    (Path(folder) / "cache.json").write_text(json.dumps({k: fields[k] for k in known if fields.get(k) is not None}))
+    write_text(spark, f"{folder}/cache.json", json.dumps({k: fields[k] for k in known if fields.get(k) is not None}))
 
 
-def delete_model(root: str, model_id: str) -> None:
-    folder = Path(root) / cache_folder(model_id)
-    if not folder.is_dir():
+def delete_model(spark: SparkSession, root: str, model_id: str) -> None:
+    folder, fs = _placed(spark, f"{root}/{cache_folder(model_id)}")
+    if not fs.exists(folder):
         raise CacheError(f"{model_id} is not cached")
-    shutil.rmtree(folder)
+    fs.delete(folder, True)
 
 
 def folder_size(spark: SparkSession, path: str) -> int:

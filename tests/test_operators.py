@@ -54,6 +54,13 @@ def fused(spark, docs, cfg=config.FusionConfig()):
     return {r["doc_id"]: r["score"] for r in fusion.reciprocal_rank_fusion(lists(spark, *docs), cfg).collect()}
 
 
+def test_lists_rank_null_and_nan_last(spark):
+    rows = spark.createDataFrame([("q", i, s) for i, s in enumerate([0.5, float("nan"), None, 0.9, 0.5])], "qid string, doc_id bigint, score double")
+    assert [r["doc_id"] for r in fusion.as_list(rows, 0).orderBy("rank0").collect()] == [3, 0, 4, 2, 1]
+    ranked = fusion.reciprocal_rank_fusion(lists(spark, [5, 3, 9], [3, 5]))
+    assert [(r["doc_id"], r["rank"]) for r in ranked.orderBy("rank").collect()] == [(3, 1), (5, 2), (9, 3)]
+
+
 def test_fusion(spark):
     assert fused(spark, ([0, 1, 2], [1, 2, 3])) == pytest.approx({0: 1 / 61, 1: 1 / 62 + 1 / 61, 2: 1 / 63 + 1 / 62, 3: 1 / 63})
     three = fused(spark, ([0, 1], [1, 2], [1, 0]))

@@ -3,7 +3,7 @@
 import pytest
 from support import SF, duck, same_rows
 
-from rankloom.plans import queries
+from rankloom.plans import queries, surfaces  # noqa: F401  the second adds its queries to the first
 
 
 def test_entry(spark):

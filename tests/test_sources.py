@@ -15,8 +15,8 @@ def lines(path, rows):
 
 @pytest.fixture
 def folder(tmp_path):
-    lines(tmp_path / "queries.jsonl", [{"_id": "q1", "text": "what is gravity"}, "", {"_id": "q2", "text": "photosynthesis", "metadata": {}}, {"_id": "q3", "text": "unjudged"}])
-    lines(tmp_path / "corpus.jsonl", [{"_id": "d1", "title": "Gravity", "text": "pulls"}, {"_id": "d2", "title": "Plants", "text": "eat light"}, {"_id": "d3", "title": "", "text": "plain"}, {"_id": "d4", "text": "other"}])
+    lines(tmp_path / "queries.jsonl", [{"_id": "q1", "text": "which moons has it"}, "", {"_id": "q2", "text": "how tides turn", "metadata": {}}, {"_id": "q3", "text": "unjudged"}])
+    lines(tmp_path / "corpus.jsonl", [{"_id": "d1", "title": "Moons", "text": "go round"}, {"_id": "d2", "title": "Tides", "text": "come twice"}, {"_id": "d3", "title": "", "text": "plain"}, {"_id": "d4", "text": "other"}])
     judged = ["query-id\tcorpus-id\tscore", "q1\td1\t2", "q2\td2\t1", "q1\td3", "q1\td2\tabc", "q2\td3\t-1", "q9\td1\t1", "q1\td9\t1", "q2\td1\t1", "q2\td1\t3"]
     lines(tmp_path / "qrels" / "test.tsv", judged)
     lines(tmp_path / "qrels" / "dev.tsv", ["query-id\tcorpus-id\tscore", "q1\td1\t1", "q2\td2\t1"])
@@ -26,7 +26,7 @@ def folder(tmp_path):
 def test_beir(spark, folder):
     data = beir.load_beir(spark, str(folder))
     assert data.queries.count() == 3
-    assert {r["doc_id"]: r["text"] for r in data.corpus.collect()} == {"d1": "Gravity pulls", "d2": "Plants eat light", "d3": "plain", "d4": "other"}
+    assert {r["doc_id"]: r["text"] for r in data.corpus.collect()} == {"d1": "Moons go round", "d2": "Tides come twice", "d3": "plain", "d4": "other"}
     assert sorted(tuple(r) for r in data.judged.collect()) == [("q1", "d1", 2), ("q1", "d2", 0), ("q2", "d1", 3), ("q2", "d2", 1), ("q2", "d3", 0)]
 
 
@@ -48,6 +48,11 @@ def test_headerless_judgments(spark, tmp_path):
     lines(tmp_path / "a.tsv", ["q1\td1\t1", "q2\td2\t1"])
     assert beir.read_judgments(spark, str(tmp_path / "a.tsv"), header="named").count() == 2
     assert beir.read_judgments(spark, str(tmp_path / "a.tsv")).count() == 1
+    # ids may begin like a header
+    lines(tmp_path / "b.tsv", ["query-id\tcorpus-id\tscore", "query1\td1\t1", "query2\td2\t1"])
+    assert beir.read_judgments(spark, str(tmp_path / "b.tsv"), header="named").count() == 2
+    lines(tmp_path / "c.tsv", ["q1\td1\t1", "query2\td2\t1"])
+    assert beir.read_judgments(spark, str(tmp_path / "c.tsv"), header="named").count() == 2
 
 
 FIELDS = {"source_url": "u", "sha256": "s", "download_date": "0s since epoch", "file_size_bytes": 3}
@@ -82,10 +87,10 @@ def test_model_cache(spark, tmp_path):
     assert names.load_model(tmp_path, "org/a", Device("cuda"))[0].name == "model.onnx"
     assert registry.folder_size(spark, str(snap / "onnx")) == 2
 
-    registry.delete_model(str(tmp_path), "org/a")
+    registry.delete_model(spark, str(tmp_path), "org/a")
     assert registry.cached_models(spark, str(tmp_path)).count() == 1
     with pytest.raises(errors.CacheError):
-        registry.delete_model(str(tmp_path), "org/a")
+        registry.delete_model(spark, str(tmp_path), "org/a")
 
 
 def test_workload(spark):

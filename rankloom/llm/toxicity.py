@@ -15,10 +15,10 @@ is a map over whole texts.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_SPACE, materialised, small_batches
+from rankloom.llm.common import materialised, small_batches
 
-RUN = re.compile(NOT_SPACE + "+")
-EDGES = ".,;:!?\"()"
+EDGES = b".,;:!?\"()"
 #: Words of a window.
 WINDOW = 6
 #: Bytes of the ordinary dictionary, of its second part, and of the toxic one while rounds go on and in the end.
@@ -56,15 +55,16 @@ class Sample:
     plain: int = 16
 
 
-def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(EDGES) for x in RUN.findall(text.lower())) if w]
+def words_of(text: str) -> list[bytes]:
+    """Runs of bytes other than space and U+0009 to U+000D, of small letters and without ``EDGES``."""
+    return [w for x in text.lower().encode("utf-8", "replace").split() if (w := x.strip(EDGES))]
 
 
-def encoded(words: Sequence[str]) -> bytes:
-    return f" {' '.join(words)} ".encode("utf-8", "replace")
+def encoded(words: Sequence[bytes]) -> bytes:
+    return b" %b " % b" ".join(words)
 
 
-def windows(words: list[str]) -> list[list[str]]:
+def windows(words: list[bytes]) -> list[list[bytes]]:
     """Runs of ``WINDOW`` words; one empty run for no words."""
     return [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)] or [[]]
 
@@ -100,25 +100,26 @@ class Dictionaries:
     ordinary: bytes
     toxic: bytes
 
-    def saving(self) -> Callable[[Sequence[str]], int]:
+    def saving(self) -> Callable[[Sequence[bytes]], int]:
         """Bytes that the toxic content saves on a run of words."""
         plain, toxic = compressor(self.header, self.ordinary), compressor(self.header, self.ordinary + self.toxic)
 
-        def saved(words: Sequence[str]) -> int:
+        def saved(words: Sequence[bytes]) -> int:
             data = encoded(words)
             return len(plain(data)) - len(toxic(data))
 
         return saved
 
 
-def features(saved: Callable[[Sequence[str]], int], text: str) -> list[float]:
+def features(saved: Callable[[Sequence[bytes]], int], text: str) -> list[float]:
     """The distribution of savings over a text's windows."""
-    m = np.array([saved(w) for w in windows(words_of(text))], float)
-    top = np.sort(m)[::-1]
-    return [top[0], m.mean(), top[:3].mean(), top[:6].mean(), *((m >= x).mean() for x in STEPS), *(np.log1p((m >= x).sum()) for x in MOST), np.log(len(m))]
+    m = [saved(w) for w in windows(words_of(text))]
+    n, best = len(m), nlargest(6, m)
+    least = np.bincount(np.clip(m, 0, 8), minlength=9)[::-1].cumsum()[::-1]  # how many save so many bytes or more, up to 8
+    return [best[0], sum(m) / n, sum(best[:3]) / min(n, 3), sum(best) / min(n, 6), *(least[list(STEPS)] / n), *np.log1p(least[list(MOST)]), np.log(n)]
 
 
-def telling_words(pieces: list[list[str]], saved: Callable[[Sequence[str]], int], least: int = 2) -> list[bytes]:
+def telling_words(pieces: list[list[bytes]], saved: Callable[[Sequence[bytes]], int], least: int = 2) -> list[bytes]:
     """Of each piece that saves ``least`` bytes, the word without which it saves the least, if that takes ``least`` bytes away."""
     out = []
     for words in pieces:
@@ -131,7 +132,7 @@ def telling_words(pieces: list[list[str]], saved: Callable[[Sequence[str]], int]
     return out
 
 
-def learned(toxic: list[list[list[str]]], ordinary: list[list[list[str]]], rounds: int = 4, passes: int = 3) -> Dictionaries:
+def learned(toxic: list[list[list[bytes]]], ordinary: list[list[list[bytes]]], rounds: int = 4, passes: int = 3) -> Dictionaries:
     """Dictionaries from the pieces (runs of words) of toxic and of ordinary texts.
 
     Toxic texts are halved: what is kept of either half is decided by a dictionary of the other, so that no piece speaks for itself.
@@ -201,7 +202,7 @@ def constant(share: float) -> Model:
     return Model(Dictionaries(b"", b"", b""), (0.0,) * N_FEATURES, (1.0,) * N_FEATURES, (*(0.0,) * N_FEATURES, float(np.log(share / (1 - share)))))
 
 
-def pieces_of(text: str, most: int) -> list[list[str]]:
+def pieces_of(text: str, most: int) -> list[list[bytes]]:
     """At most ``most`` windows of the text, drawn from all of it, by a hash of their place and words."""
     found = windows(words_of(text))
     drawn = sorted(range(len(found)), key=lambda i: zlib.crc32(b"%d %b" % (i, encoded(found[i]))))[:most]
@@ -234,13 +235,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mod
     def cut(batches):
         for batch in batches:
             found = [pieces_of(t, sample.pieces if y else sample.plain) for t, y in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["id", "toxic", "fold", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.list_(pa.binary())))], names=["id", "toxic", "fold", "pieces"])
 
-    held = small_batches(rows).select(F.col("id").cast("string"), F.col("toxic").cast("int"), "fold", "text").mapInArrow(cut, "id string, toxic int, fold int, pieces array<array<string>>").collect()
+    held = small_batches(rows).select(F.col("id").cast("string"), F.col("toxic").cast("int"), "fold", "text").mapInArrow(cut, "id string, toxic int, fold int, pieces array<array<binary>>").collect()
     held.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"]))
     if any({r["toxic"] for r in held if r["fold"] == f} != {0, 1} for f in (0, 1)):
         return constant(float(np.mean([r["toxic"] for r in held])) if held else 0.0)
-    by = lambda f, y: [r["pieces"] for r in held if r["fold"] != f and r["toxic"] == y]
+    by = lambda f, y: [[list(map(bytes, p)) for p in r["pieces"]] for r in held if r["fold"] != f and r["toxic"] == y]
     made = [learned(by(f, 1), by(f, 0)) for f in (0, 1)]
 
     def measured(batches):

@@ -217,7 +217,7 @@ class Codec:
         return self.bytes[np.arange(at[-1]) + np.repeat(shift, np.diff(at))].tobytes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)
 
@@ -302,7 +302,7 @@ def counted(docs: DataFrame, paths: Mapping[str, str], id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        sizes = {name: _Sizes(codec(path).merges) for name, path in paths.items()}
+        sizes = {name: _sizes(path) for name, path in paths.items()}
         for batch in batches:
             for at, texts in chunks(batch.column(1)):
                 found = [list(s) for s in slices(texts)]
@@ -325,3 +325,9 @@ class _Sizes(dict):
                 self.clear()
             self[piece] = n
         return n
+
+
+@lru_cache(maxsize=4)
+def _sizes(path: str) -> _Sizes:
+    """Kept by the worker from task to task, as codecs are."""
+    return _Sizes(codec(path).merges)

@@ -302,32 +302,31 @@ def counted(docs: DataFrame, paths: Mapping[str, str], id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        sizes = {name: _sizes(path) for name, path in paths.items()}
+        sizes = _Sizes([codec(path).merges.ranks for path in paths.values()])
         for batch in batches:
             for at, texts in chunks(batch.column(1)):
-                found = [list(s) for s in slices(texts)]
-                columns = [pa.array([sum(map(n.__getitem__, s)) for s in found], pa.int64()) for n in sizes.values()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=[id_col, *sizes])
+                sums = [sum(map(sizes.__getitem__, s)) for s in slices(texts)]
+                columns = [pa.array([n >> PLACE * i & (1 << PLACE) - 1 for n in sums], pa.int64()) for i in range(len(paths))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=[id_col, *paths])
 
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{name}` bigint" for name in paths))
 
 
+#: Bits of a number that holds the counts of several vocabularies side by side.
+PLACE = 40
+
+
 class _Sizes(dict):
-    """Numbers of ids of slices; bounded."""
+    """Numbers of ids of slices under each vocabulary, ``PLACE`` bits apart in one number, so that a slice is looked up once; bounded."""
 
-    def __init__(self, merges: _Merges):
-        self.merges = merges
+    def __init__(self, ranks: list[Mapping[bytes, int]]):
+        self.ranks = ranks
 
     def __missing__(self, piece: str) -> int:
-        n = len(merged(piece.encode("utf-8"), self.merges.ranks))
+        data = piece.encode("utf-8")
+        n = sum(len(merged(data, r)) << PLACE * i for i, r in enumerate(self.ranks))
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE:
                 self.clear()
             self[piece] = n
         return n
-
-
-@lru_cache(maxsize=4)
-def _sizes(path: str) -> _Sizes:
-    """Kept by the worker from task to task, as codecs are."""
-    return _Sizes(codec(path).merges)

@@ -37,7 +37,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_WHITE, JOINED, ONE_MORE, TWO_MORE =
 #: Chunks of texts hold at most so many code points, unless one text alone has more.
 CHUNK = 1_000_000
 #: Cached slices, and the longest that are cached.
-CACHE, CACHED_LENGTH = 200_000, 64
+CACHE, CACHED_LENGTH = 600_000, 64
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -302,7 +302,7 @@ def counted(docs: DataFrame, paths: Mapping[str, str], id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        sizes = _Sizes([codec(path).merges.ranks for path in paths.values()])
+        sizes = _sizes(tuple(paths.values()))
         for batch in batches:
             for at, texts in chunks(batch.column(1)):
                 sums = [sum(map(sizes.__getitem__, s)) for s in slices(texts)]
@@ -330,3 +330,9 @@ class _Sizes(dict):
                 self.clear()
             self[piece] = n
         return n
+
+
+@lru_cache(maxsize=2)
+def _sizes(paths: tuple[str, ...]) -> _Sizes:
+    """Kept by the worker from task to task."""
+    return _Sizes([read_ranks(path) for path in paths])
